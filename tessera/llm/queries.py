@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .op10_simhash import op10_simhash
 from .op3_packing import op3_packing
+from .op5_crosspolytope import op5_crosspolytope
 from .op8_bpe import op8_bpe
 
-QUERIES = {"op3_packing": op3_packing, "op8_bpe": op8_bpe}
+QUERIES = {"op3_packing": op3_packing, "op5_crosspolytope": op5_crosspolytope, "op8_bpe": op8_bpe, "op10_simhash": op10_simhash}
 ORACLES: dict[str, str] = {}
