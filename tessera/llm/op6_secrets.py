@@ -20,14 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, slices, table, texts_of
+from .common import cut, ship, slices, table, texts_of
 from .words import runs
 
 KINDS = ("assign", "access", "hex", "model")
 #: Rows of each label that the automata are inferred from (lowest hash of the value), least length of a token, Hoeffding confidence.
-EXAMPLES, TOKEN, ALPHA = 600, 16, 0.05
+EXAMPLES, TOKEN, ALPHA = 1000, 16, 0.05
 #: How many times likelier a character is on average under the credential automaton, at least.
 LEAST = 0.5
+#: What a token must exceed the likeliest ordinary token of the sample by.
+MARGIN = 0.3
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -168,31 +170,41 @@ class Automaton:
 def infer(docs: DataFrame, examples: int = EXAMPLES, least: float = LEAST) -> tuple[Automaton, Automaton, float] | None:
     """The two automata and the threshold, from at most `examples` values of each label."""
     ship(docs.sparkSession)
-    text = F.lower("text")
-    marked = docs.where(F.col("text").contains("AKIA") | F.exists(F.array(*map(F.lit, WORDS)), lambda w: text.contains(w)))
     kinds = pa.schema([("label", pa.int32()), ("value", pa.string())])
 
     def run(batches):
+        from xxhash import xxh64_intdigest
+
+        least: tuple[dict, dict] = ({}, {})  # by label, the values with the lowest hashes so far: their union over tasks has those of the corpus
+
+        def add(label, value):
+            least[label][value] = xxh64_intdigest(value)
+            if len(least[label]) > 4 * examples:
+                kept = sorted((h, v) for v, h in least[label].items())[:examples]
+                least[label].clear()
+                least[label].update((v, h) for h, v in kept)
+
         for batch in batches:
-            texts, rows = texts_of(batch.column(0)), set()
+            texts = texts_of(batch.column(0))
             for a, b in slices(texts):
                 for t, (base, tokens) in zip(texts[a:b], scan(texts[a:b])):
                     for s, kind, e in base:
                         value = ASSIGN.match(t, s)[2] if kind == 0 else t[s:e]
                         if len(value) >= TOKEN:
-                            rows.add((1, value))
-                    rows.update((0, t[s:e]) for s, e in tokens)
-            rows = sorted(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string())], schema=kinds)
-
-    values = marked.select("text").mapInArrow(run, "label int, value string")
-    got = [sorted(symbols(r.value) for r in values.where(F.col("label") == label).orderBy(F.xxhash64("value"), "value").limit(examples).collect()) for label in (0, 1)]
+                            add(1, value)
+                    for s, e in tokens:
+                        add(0, t[s:e])
+        rows = [(label, v) for label in (0, 1) for _, v in sorted((h, v) for v, h in least[label].items())[:examples]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string())], schema=kinds)
+
+    values = cut(docs.select("text").mapInArrow(run, "label int, value string").distinct())
+    got = [sorted(symbols(r.value) for r in values.where(F.col("label") == label).orderBy(F.xxhash64(F.col("value"), F.lit(0)), "value").limit(examples).collect()) for label in (0, 1)]
     if not got[0] or not got[1]:
         return None
     other, good = Automaton(got[0]), Automaton(got[1])
     # no ordinary token of the sample may pass
     worst = max((good.log_likelihood(s) - other.log_likelihood(s)) / (len(s) + 1) for s in got[0])
-    return good, other, max(least, worst + 0.05)
+    return good, other, max(least, worst + MARGIN)
 
 
 def report(docs: DataFrame, model) -> DataFrame:

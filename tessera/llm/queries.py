@@ -1,11 +1,17 @@
-"""The registered queries of this subpackage, and their DuckDB equivalents where SQL can express them."""
+"""The registered queries of this subpackage, and their DuckDB equivalents where SQL can express them (none can whole)."""
 
 from __future__ import annotations
 
-from .op10_simhash import op10_simhash
+from .op1_additive import op1_additive
+from .op2_licenses import op2_licenses
 from .op3_packing import op3_packing
+from .op4_pii import op4_pii
 from .op5_crosspolytope import op5_crosspolytope
+from .op6_secrets import op6_secrets
+from .op7_language import op7_language
 from .op8_bpe import op8_bpe
+from .op9_quality import op9_quality
+from .op10_simhash import op10_simhash
 
-QUERIES = {"op3_packing": op3_packing, "op5_crosspolytope": op5_crosspolytope, "op8_bpe": op8_bpe, "op10_simhash": op10_simhash}
+QUERIES = {f.__name__: f for f in (op1_additive, op2_licenses, op3_packing, op4_pii, op5_crosspolytope, op6_secrets, op7_language, op8_bpe, op9_quality, op10_simhash)}
 ORACLES: dict[str, str] = {}
