@@ -58,9 +58,10 @@ def least_reached(n: int, i: np.ndarray, j: np.ndarray, node: np.ndarray) -> np.
     return out
 
 
-def compare(rows: DataFrame, linked: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray], block: int = BLOCK, task_rows: int = TASK_ROWS) -> DataFrame:
-    """rows: key long, node long, weight long and what `linked` reads. Gives node, links (sum of the weights of linked rows) and least (a node it
-    reaches), for rows with a link; a node may come several times. linked(table, i, j) says which pairs count."""
+def compare(rows: DataFrame, prepare: Callable[[pa.Table], Callable[[np.ndarray, np.ndarray], np.ndarray]], block: int = BLOCK, task_rows: int = TASK_ROWS) -> DataFrame:
+    """rows: key long, node long, weight long and what `prepare` reads. Gives node, links (sum of the weights of linked rows) and least (a node it
+    reaches), for rows with a link; a node may come several times. prepare(table) gives linked(i, j), which says
+    which pairs of its rows count."""
     ship(rows.sparkSession)
     sizes = rows.groupBy("key").count()
     large = cut(sizes.where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("parts")))
@@ -81,9 +82,10 @@ def compare(rows: DataFrame, linked: Callable[[pa.Table, np.ndarray, np.ndarray]
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("unit", "ascending"), ("node", "ascending")]).combine_chunks()
         unit, side, node, weight = (t[c].to_numpy() for c in ("unit", "side", "node", "weight"))
+        linked = prepare(t)
         links, ii, jj = np.zeros(len(unit), np.int64), [], []
         for i, j in pairs_by_unit(unit, side):
-            ok = linked(t, i, j)
+            ok = linked(i, j)
             i, j = i[ok], j[ok]
             np.add.at(links, i, weight[j])
             np.add.at(links, j, weight[i])

@@ -91,14 +91,18 @@ def near_fingerprints(distinct: DataFrame, bits: int = BITS, groups: int = GROUP
                 n, weight = key.shape[1], batch.column(1).to_numpy()[a : a + 8192]
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(fp[a : a + 8192], n)), pa.array(np.repeat(weight, n))], schema=kinds)
 
-    def linked(t: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def prepare(t: pa.Table):
         fp = t["node"].to_numpy()
         point = popcounts(fp).astype(np.int8)
-        near = np.abs(point[i] - point[j]).sum(1) <= bits
-        near[near] = np.bitwise_count(fp[i[near]].view(np.uint64) ^ fp[j[near]].view(np.uint64)) <= bits
-        return near
 
-    return compare(cut(distinct.mapInArrow(keyed, "key long, node long, weight long")), linked)
+        def linked(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            near = np.abs(point[i] - point[j]).sum(1) <= bits
+            near[near] = np.bitwise_count(fp[i[near]].view(np.uint64) ^ fp[j[near]].view(np.uint64)) <= bits
+            return near
+
+        return linked
+
+    return compare(cut(distinct.mapInArrow(keyed, "key long, node long, weight long")), prepare)
 
 
 def simhash_components(docs: DataFrame, bits: int = BITS, groups: int = GROUPS) -> DataFrame:

@@ -100,37 +100,56 @@ def linked_vectors(classes: DataFrame, cosine: float = COSINE, tables: int = TAB
                             some = part.take(pa.array(new))
                             yield pa.RecordBatch.from_arrays([pa.array(key[new, t, k]), some.column(0), some.column(1), some.column(2).cast(kinds.field(3).type)], schema=kinds)
 
-    def linked(t: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def prepare(t: pa.Table):
         # a key holds the vectors' length, so those of a pair have one length; a task may hold several
-        out = np.zeros(len(i), bool)
-        sizes = t["embedding"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        column = t["embedding"].combine_chunks()
+        sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+        bucket, never = t["bucket"].to_numpy(), np.iinfo(np.int64).max
+        unit = [np.empty(0)] * len(sizes)
         for d in np.unique(sizes):
             rows = np.flatnonzero(sizes == d)
-            at = np.full(len(sizes), -1)
-            at[rows] = np.arange(len(rows))
-            pick = np.flatnonzero((at[i] >= 0) & (at[j] >= 0))
-            if not len(pick):
-                continue
-            u = unit_rows(matrix(t["embedding"].combine_chunks().take(pa.array(rows))))
-            for s in range(0, len(pick), 8192):
-                own = pick[s : s + 8192]
-                a, b = at[i[own]], at[j[own]]
-                near = np.flatnonzero(np.einsum("ij,ij->i", u[a], u[b]) >= cosine)
+            for r, u in zip(rows.tolist(), unit_rows(matrix(column.take(pa.array(rows))))):
+                unit[r] = u
+        keys = np.zeros((len(sizes), tables, probes), np.int64)
+        known = np.zeros(len(sizes), bool)
+
+        def need(rows: np.ndarray) -> None:
+            """The keys of rows that have a link, each computed once."""
+            rows = np.unique(rows)
+            rows = rows[~known[rows]]
+            for d in np.unique(sizes[rows]):
+                own = rows[sizes[rows] == d]
+                keys[own] = bucket_keys(np.stack([unit[r] for r in own.tolist()]), tables, probes)
+            known[rows] = True
+
+        whole = np.stack(unit) if len(np.unique(sizes)) == 1 else None
+
+        def linked(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(i), bool)
+            for s in range(0, len(i), 8192):
+                a, b = i[s : s + 8192], j[s : s + 8192]
+                cos = np.einsum("ij,ij->i", whole[a], whole[b]) if whole is not None else np.array([unit[x] @ unit[y] if sizes[x] == sizes[y] else -1.0 for x, y in zip(a.tolist(), b.tolist())])
+                near = np.flatnonzero(cos >= cosine)
                 if not len(near):
                     continue
-                used, place = np.unique(np.append(a[near], b[near]), return_inverse=True)
-                keys = bucket_keys(u[used], tables, probes)
-                ka, kb = keys[place[: len(near)]], keys[place[len(near) :]]
-                first = np.full(len(near), np.iinfo(np.int64).max)
-                for tab in range(tables - 1, -1, -1):
-                    same = (ka[:, tab, :, None] == kb[:, tab, None, :]).any(2)
-                    low = np.where(same, ka[:, tab], np.iinfo(np.int64).max).min(1)
-                    first = np.where(same.any(1), low, first)
-                out[own[near]] = first == t["bucket"].to_numpy()[i[own[near]]]
-        return out
+                a, b = a[near], b[near]
+                need(np.append(a, b))
+                first = np.full(len(near), never)
+                for tab in range(tables):
+                    open_ = np.flatnonzero(first == never)
+                    if not len(open_):
+                        break
+                    ka, kb = keys[a[open_], tab], keys[b[open_], tab]
+                    same = (ka[:, :, None] == kb[:, None, :]).any(2)
+                    hit = same.any(1)
+                    first[open_[hit]] = np.where(same[hit], ka[hit], never).min(1)
+                out[s + near] = first == bucket[a]
+            return out
+
+        return linked
 
     rows = cut(classes.select("node", "weight", "embedding").mapInArrow(keyed, f"key long, node long, weight long, embedding {kind}"))
-    return compare(rows.withColumn("bucket", F.col("key")), linked)
+    return compare(rows.withColumn("bucket", F.col("key")), prepare)
 
 
 def embedding_components(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
