@@ -1,4 +1,369 @@
-"""The registered queries over the driver's tables and their DuckDB equivalents."""
+"""The registered queries over the driver's tables and their DuckDB equivalents.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Master: part (name p_name, location p_brand, region p_type). Target: part rows with their names changed by p_partkey: upper case, words turned
+round, brand appended, initials, letters changed, another brand given.
+"""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import fuzzy
+from .functions import text as X
+from .operators import index as I
+from .operators import locations as L
+from .operators import report as R
+from .operators import scoring as S
+from .operators.rules import PLAIN
+from .plans import cascade as C
+from .sources import tables as T
+
+RULES = replace(PLAIN, aliases={"brand 1": "brand 2", "brand 3": "brand 4"}, verified={"rs": 11, "red bolt brand 7": 5}, verified_review={"hg": 3}, verified_absent=("bb", "hot ring"), supplement=((900000001, "odd cog", "Brand#99", "EXTRA", "OC", ""), (7, "never added", "", "", "", "")), domains=("ring", "bolt", "widget", "gear"), domain_groups={"ring": "round", "gear": "round"}, delivery=("hot", "red"))
+
+TARGET = """SELECT p_partkey AS row_id, CASE p_partkey % 6 WHEN 0 THEN upper(p_name) WHEN 1 THEN split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1)
+ WHEN 2 THEN p_name || ' ' || p_brand WHEN 3 THEN substr(p_name, 1, 1) || substr(split_part(p_name, ' ', 2), 1, 1) WHEN 4 THEN replace(p_name, 'e', 'x') ELSE p_name END AS name,
+ CASE WHEN p_partkey % 6 = 5 THEN 'Brand#' || CAST(p_partkey % 25 + 1 AS STRING) ELSE p_brand END AS city, p_type AS state FROM part"""
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
+
+
+def _part(spark, d):
+    return _table(spark, d, "part")
+
+
+def _master(spark, d):
+    return _part(spark, d).select(F.col("p_partkey").alias("master_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("city"), F.col("p_type").alias("state"), F.col("p_partkey").alias("_row_id"))
+
+
+def _target(spark, d):
+    return spark.sql(TARGET.replace("FROM part", "FROM {part}"), part=_part(spark, d))
+
+
+def _n(c):
+    return X.normalize(F.col(c) if isinstance(c, str) else c, RULES, unicode=False)
+
+
+def _clean(spark, d):
+    return _part(spark, d).select("p_partkey", _n("p_name").alias("clean"), _n("p_brand").alias("loc"))
+
+
+def _joined(c):
+    return F.array_join(F.array_sort(c), " ")
+
+
+def _index(spark, d):
+    return I.build(_master(spark, d), RULES, unicode=False)
+
+
+def _names(spark, d):
+    """Distinct target names without locations: match_key, name, city, state."""
+    rows = C.with_keys(_target(spark, d), "name", rules=RULES, unicode=False)
+    return rows.groupBy("match_key").agg(F.min_by("name", "row_id").alias("name")).select("match_key", "name", F.lit("").alias("city"), F.lit("").alias("state"))
+
+
+def _keyed(spark, d):
+    return C.with_keys(_target(spark, d), "name", "city", "state", RULES, unicode=False)
+
+
+def _hits(spark, d):
+    p = _names(spark, d).select(F.col("match_key").alias("key"), _n("name").alias("raw_id")).withColumns({"identity": F.col("raw_id"), "print": X.fingerprint(F.col("raw_id"))})
+    return C.exact_hits(p, _index(spark, d))
+
+
+def normalize_names(spark, d):
+    return _part(spark, d).select("p_partkey", _n(F.concat_ws(" & ", "p_name", "p_brand")).alias("clean"))
+
+
+def match_keys(spark, d):
+    return _keyed(spark, d).select("row_id", "match_key")
+
+
+def token_sets(spark, d):
+    c = F.col("clean")
+    return _clean(spark, d).select("p_partkey", _joined(X.identity_tokens(c, RULES)).alias("identity"), _joined(X.meaningful_tokens(F.concat_ws(" ", "clean", "loc"), RULES)).alias("meaningful"))
+
+
+def identity_fingerprint(spark, d):
+    return _target(spark, d).select("row_id", X.fingerprint(_n("name")).alias("fingerprint"))
+
+
+def derived_acronyms(spark, d):
+    return _clean(spark, d).select("p_partkey", _joined(X.derived_acronyms(F.concat_ws(" ", "clean", "loc"), RULES)).alias("acronyms"))
+
+
+def canonical_location(spark, d):
+    return _clean(spark, d).select("p_partkey", X.canonical(F.col("loc"), RULES).alias("location"))
+
+
+def domain_groups(spark, d):
+    return _clean(spark, d).select("p_partkey", _joined(X.domain_markers(F.col("clean"), RULES)).alias("domains"))
+
+
+def header_resolution(spark, d):
+    cols = _part(spark, d).columns
+    return spark.createDataFrame([(w, i if i is not None else -1) for w, i in ((w, T.find_column(cols, [w], None)) for w in ("P Name", "p-brand", "City", "P_TYPE"))], "wanted string, position int")
+
+
+def distinct_inputs_first(spark, d):
+    rows = _keyed(spark, d).withColumn("_row_id", F.col("row_id"))
+    return C.distinct_inputs(rows).select("match_key", "name", "city", "state")
+
+
+def supplement_master(spark, d):
+    return I.supplemented(I.validated(_master(spark, d)), RULES).select("master_id", "name", "city", "state")
+
+
+def last_record_wins(spark, d):
+    rows = _master(spark, d).withColumn("master_id", F.expr("master_id % 500"))
+    return I.last_record(rows).select("master_id", "name", "city")
+
+
+def _counts(postings):
+    return postings.groupBy("key").agg(F.count("*").alias("n"), F.min("master_id").alias("first_id"))
+
+
+def posting_tokens(spark, d):
+    return _counts(_index(spark, d).tokens)
+
+
+def posting_acronyms(spark, d):
+    return _counts(_index(spark, d).acronyms)
+
+
+def posting_locations(spark, d):
+    return _counts(_index(spark, d).locations)
+
+
+def variant_index(spark, d):
+    return _counts(_index(spark, d).variants)
+
+
+def exact_tiers(spark, d):
+    return _hits(spark, d).groupBy("key").agg(F.count("*").alias("n"), F.min("master_id").alias("first_id"))
+
+
+def unique_exact(spark, d):
+    return C._only(_hits(spark, d))
+
+
+def detect_location(spark, d):
+    phrases = L.phrase_dictionary(_clean(spark, d).select(F.col("loc").alias("raw"), X.canonical(F.col("loc"), RULES).alias("clean")), RULES)
+    t = _target(spark, d).select("row_id", _n("name").alias("text"))
+    return L.with_location(t, "text", phrases, RULES, "location", "phrase").select("row_id", "location", "phrase")
+
+
+def location_conflict(spark, d):
+    """How many same-named parts lie elsewhere than the input says."""
+    t = _target(spark, d).select("row_id", _n("name").alias("clean"), X.canonical(_n("city"), RULES).alias("loc")).where("row_id % 6 in (0, 5)")
+    names = t.select("clean", "loc").distinct()
+    dim = _index(spark, d).dim
+    pairs = names.join(dim.select("clean_name", "cities", "unique_keys", "city_keys"), F.col("clean") == F.col("clean_name")).withColumn("inits", X.initialisms(F.concat_ws(" ", "clean", "loc"), RULES))
+    n = pairs.where(S.location_conflict(F.col("loc"), F.col("inits"))).groupBy("clean", "loc").agg(F.count("*").alias("n_away"))
+    return names.join(n, ["clean", "loc"], "left").select("clean", "loc", F.coalesce("n_away", F.lit(0)).alias("n_away"))
+
+
+def verified_overrides(spark, d):
+    ids = X.mapped(RULES.verified)
+    names = _names(spark, d).select(F.split("match_key", r"\|\|")[0].alias("clean"))
+    return names.select("clean", F.element_at(ids, F.col("clean")).cast("long").alias("master_id")).where("master_id is not null").join(_master(spark, d).select("master_id", "name"), "master_id").select("clean", "master_id", "name")
+
+
+def verified_absent(spark, d):
+    return _names(spark, d).select(F.split("match_key", r"\|\|")[0].alias("clean")).where(F.col("clean").isin(list(RULES.verified_absent)))
+
+
+def _ranked(spark, d):
+    index = _index(spark, d)
+    p = C.probes(_names(spark, d), index, RULES, unicode=False)
+    return C.candidates(p, index, RULES), p, index
+
+
+def candidate_blocking(spark, d):
+    return _ranked(spark, d)[0].groupBy("key").agg(F.count("*").alias("n"), F.min("master_id").alias("first_id"))
+
+
+def token_coverage(spark, d):
+    """Shares of common words between inputs and record names, for names without a location."""
+    a = _names(spark, d).select("match_key", X.identity_tokens(_n("name"), RULES).alias("mine"))
+    b = _clean(spark, d).select("clean", X.identity_tokens(F.col("clean"), RULES).alias("theirs")).distinct()
+    pair = a.select("match_key", "mine", F.explode("mine").alias("k")).join(b.select("clean", "theirs", F.explode("theirs").alias("k")), "k").drop("k").distinct()
+    shared = F.array_intersect("mine", "theirs")
+    return pair.select("match_key", "clean", S._coverage(shared, F.col("mine")).alias("cov_in"), S._coverage(shared, F.col("theirs")).alias("cov_rec"))
+
+
+def _coverage_scores(spark, d):
+    return token_coverage(spark, d).select(F.col("match_key").alias("key"), F.col("clean").alias("master_id"), (60.0 * F.col("cov_in") + 40.0 * F.col("cov_rec")).alias("confidence"))
+
+
+def top_k_candidates(spark, d):
+    return C.rank(_coverage_scores(spark, d), 5).select("key", F.col("master_id").alias("name"), "rank", "confidence")
+
+
+def top_two_margin(spark, d):
+    from pyspark.sql import Window as W
+
+    r = C.rank(_coverage_scores(spark, d), 2).withColumn("margin", F.col("confidence") - F.lead("confidence", 1, 0.0).over(W.partitionBy("key").orderBy("rank")))
+    return r.where("rank = 1").select("key", F.col("master_id").alias("name"), "margin")
+
+
+def delivery_conflict(spark, d):
+    b = _clean(spark, d).select("clean").distinct().withColumn("delivery", F.array_intersect(X.tokens(F.col("clean")), X.arr(RULES.delivery)))
+    a = b.select(F.col("clean").alias("bare"))
+    pair = a.withColumn("k", F.substring_index("bare", " ", -1)).join(b.withColumn("k", F.substring_index("clean", " ", -1)), "k")
+    return pair.select("bare", "clean", S.delivery_conflict(F.col("bare"), RULES).alias("conflict"))
+
+
+def domain_conflict(spark, d):
+    b = _clean(spark, d).select("clean").distinct().withColumn("domain", X.domain_markers(F.col("clean"), RULES))
+    a = b.select(F.col("clean").alias("bare"), F.col("domain").alias("p_domain"))
+    pair = a.withColumn("k", F.substring_index("bare", " ", 1)).join(b.withColumn("k", F.substring_index("clean", " ", 1)), "k")
+    return pair.select("bare", "clean", S.domain_conflict(F.col("p_domain")).alias("conflict"))
+
+
+def segment_parents(spark, d):
+    """Parts named by one of two comma-separated segments."""
+    index = _index(spark, d)
+    t = _target(spark, d).where("row_id % 6 = 5").select(F.concat_ws(", ", F.lit("Unit X"), "name", "city").alias("name"), "row_id")
+    seg = t.select("row_id", F.explode(F.split("name", ",")).alias("s")).select("row_id", _n("s").alias("key"))
+    return seg.join(index.variants, "key").groupBy("row_id").agg(F.count_distinct("master_id").alias("n"), F.min("master_id").alias("first_id"))
+
+
+def _decisions(spark, d):
+    """Decisions by exact name and location alone."""
+    rows = _keyed(spark, d).withColumn("_row_id", F.col("row_id"))
+    inputs = C.distinct_inputs(rows).withColumns({"clean": _n("name"), "loc": X.canonical(_n("city"), RULES)})
+    m = _master(spark, d).select("master_id", F.col("name").alias("matched_name"), _n("name").alias("clean"), X.canonical(_n("city"), RULES).alias("loc"))
+    m = m.groupBy("clean", "loc").agg(F.count("*").alias("n"), F.min("master_id").alias("first_id"), F.min("matched_name").alias("matched_name"))
+    j = inputs.join(m, ["clean", "loc"], "left").withColumn("decision", F.when(F.col("n") == 1, "FOUND").when(F.col("n") > 1, "NEEDS_REVIEW").otherwise("NOT_FOUND"))
+    hit = F.col("decision") != "NOT_FOUND"
+    return rows, j.select("match_key", F.col("name").alias("input_name"), "decision", F.when(hit, F.col("first_id")).alias("master_id"), F.when(hit, F.col("matched_name")).alias("matched_name"), F.when(F.col("n") == 1, 100.0).when(F.col("n") > 1, F.greatest(F.lit(50.0), 100.0 - 5.0 * F.col("n"))).otherwise(0.0).alias("confidence"), F.lit("Exact name and location").alias("reason"))
+
+
+def decision_counts(spark, d):
+    return R.decision_counts(_decisions(spark, d)[1])
+
+
+def row_decisions(spark, d):
+    return R.row_decisions(*_decisions(spark, d)).select("row_id", "decision")
+
+
+def confidence_buckets(spark, d):
+    return R.confidence_buckets(_decisions(spark, d)[1])
+
+
+def row_audit(spark, d):
+    return R.row_audit(*_decisions(spark, d)).select("row_id", "name", "city", "state", "decision", "master_id", "matched_name", "confidence", "reason")
+
+
+def write_back(spark, d):
+    rows, decisions = _decisions(spark, d)
+    out = R.write_back(rows.drop("_row_id").withColumn("ID", F.lit("")), decisions, "ID")
+    return out.withColumnsRenamed({"ID": "id", "Match Status": "match_status", "Confidence Score": "confidence_score"})
+
+
+def review_queue(spark, d):
+    return R.review_queue(_decisions(spark, d)[1]).toDF("input_name", "master_id", "matched_name", "confidence", "reason")
+
+
+def lexical_score(spark, d):
+    t = _target(spark, d).select("row_id", _n("name").alias("a"), F.lower("state").alias("b"))
+    return t.select("row_id", F.round(fuzzy.ratio(F.col("a"), F.col("b")), 6).alias("difflib"), F.round(fuzzy.ratio(F.col("a"), F.col("b"), "indel"), 6).alias("indel"))
+
+
+def fuzzy_fallback(spark, d):
+    """For names without any candidate: variants that share a word, by ratio, the best 100 from 25 up."""
+    pool, p, index = _ranked(spark, d)
+    lone = p.join(pool.select("key").distinct(), "key", "left_anti").select("key", "p_input", F.explode(X.tokens(F.col("p_input"))).alias("k"))
+    words = index.variants.select(F.col("key").alias("variant")).distinct().select("variant", F.explode(X.tokens(F.col("variant"))).alias("k"))
+    pairs = lone.join(words, "k").select("key", "p_input", "variant").distinct()
+    return C.rank(pairs.withColumn("confidence", fuzzy.ratio(F.col("p_input"), F.col("variant"))).where("confidence >= 25").withColumnRenamed("variant", "master_id"), 100).select("key", F.col("master_id").alias("variant"), "rank")
+
+
+def full_cascade(spark, d):
+    rows = _keyed(spark, d)
+    inputs = rows.groupBy("match_key").agg(F.min_by(F.struct("name", "city", "state"), "row_id").alias("r")).select("match_key", "r.*")
+    return C.match(_master(spark, d), inputs, RULES, unicode=False).drop("candidates")
+
+
+QUERIES = {f.__name__: f for f in (
+    unique_exact, normalize_names, match_keys, token_sets, identity_fingerprint, derived_acronyms, canonical_location, domain_groups, header_resolution, distinct_inputs_first, supplement_master, last_record_wins,
+    posting_tokens, posting_acronyms, posting_locations, variant_index, exact_tiers, detect_location, location_conflict, verified_overrides, verified_absent, candidate_blocking, token_coverage, top_k_candidates,
+    top_two_margin, delivery_conflict, domain_conflict, segment_parents, decision_counts, row_decisions, confidence_buckets, row_audit, write_back, review_queue, lexical_score, fuzzy_fallback, full_cascade,
+)}
+
+
+def _sql_n(x: str) -> str:
+    return f"trim(regexp_replace(replace(lower({x}), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _sql_canon(x: str) -> str:
+    return f"CASE {x} WHEN 'brand 1' THEN 'brand 2' WHEN 'brand 3' THEN 'brand 4' ELSE {x} END"
+
+
+def _sql_list(x: str) -> str:
+    return f"string_split({x}, ' ')"
+
+
+_T = f"target AS ({TARGET})"
+_K = f"keyed AS (SELECT *, {_sql_n('name')} AS clean, {_sql_canon(_sql_n('city'))} AS loc, {_sql_n('name')} || '||' || {_sql_canon(_sql_n('city'))} || '||' || {_sql_n('state')} AS match_key FROM target)"
+_M = f"""m AS (SELECT p_partkey AS master_id, p_name AS name, p_brand AS city, '' AS short FROM part UNION ALL SELECT 900000001, 'odd cog', 'Brand#99', 'oc'),
+ e AS (SELECT master_id, name, {_sql_n('name')} AS clean, {_sql_n('city')} AS raw, {_sql_canon(_sql_n('city'))} AS canon, short, substr({_sql_n('name')}, 1, 1) || substr(split_part({_sql_n('name')}, ' ', 2), 1, 1) AS acr FROM m),
+ f AS (SELECT DISTINCT master_id, unnest([clean, acr, short]) AS form, raw, canon FROM e),
+ v AS (SELECT DISTINCT trim(key) AS key, master_id FROM (SELECT form AS key, master_id FROM f UNION ALL SELECT form || ' ' || raw, master_id FROM f UNION ALL SELECT form || ' ' || canon, master_id FROM f UNION ALL SELECT raw, master_id FROM e UNION ALL SELECT canon, master_id FROM e) WHERE trim(key) <> ''),
+ fp AS (SELECT DISTINCT array_to_string(list_sort({_sql_list('clean')}), ' ') AS key, master_id FROM e UNION SELECT short, master_id FROM e WHERE short <> '')"""
+_NAMES = f"names AS (SELECT DISTINCT {_sql_n('name')} AS clean, {_sql_n('name')} || '||||' AS match_key FROM target)"
+_HITS = """h0 AS (SELECT match_key AS key, master_id, 0 AS tier FROM names JOIN v ON v.key = names.clean UNION SELECT match_key, master_id, 2 FROM names JOIN fp ON fp.key = array_to_string(list_sort(string_split(names.clean, ' ')), ' ')),
+ hits AS (SELECT key, master_id FROM h0 QUALIFY tier = min(tier) OVER (PARTITION BY key))"""
+_D = f"""mm AS (SELECT {_sql_n('p_name')} AS clean, {_sql_canon(_sql_n('p_brand'))} AS loc, count(*) AS n, min(p_partkey) AS first_id, min(p_name) AS mname FROM part GROUP BY 1, 2),
+ inputs AS (SELECT match_key, arg_min(name, row_id) AS input_name, any_value(clean) AS clean, any_value(loc) AS loc FROM keyed GROUP BY 1),
+ decisions AS (SELECT match_key, input_name, CASE WHEN n = 1 THEN 'FOUND' WHEN n > 1 THEN 'NEEDS_REVIEW' ELSE 'NOT_FOUND' END AS decision, first_id AS master_id, mname AS matched_name,
+ CASE WHEN n = 1 THEN 100.0 WHEN n > 1 THEN greatest(50.0, 100.0 - 5.0 * n) ELSE 0.0 END::DOUBLE AS confidence, 'Exact name and location' AS reason FROM inputs LEFT JOIN mm USING (clean, loc))"""
+_COV = f"""c AS (SELECT DISTINCT {_sql_n('p_name')} AS clean FROM part), a AS (SELECT match_key, list_distinct(list_filter({_sql_list('clean')}, x -> length(x) > 1)) AS mine FROM names),
+ cov AS (SELECT match_key, clean, len(list_intersect(mine, theirs)) / len(mine)::DOUBLE AS cov_in, len(list_intersect(mine, theirs)) / len(theirs)::DOUBLE AS cov_rec
+ FROM a, (SELECT clean, list_distinct({_sql_list('clean')}) AS theirs FROM c) WHERE len(list_intersect(mine, theirs)) > 0),
+ s AS (SELECT match_key AS key, clean AS name, 60.0 * cov_in + 40.0 * cov_rec AS confidence, row_number() OVER (PARTITION BY match_key ORDER BY 60.0 * cov_in + 40.0 * cov_rec DESC, clean) AS rank FROM cov)"""
+_COUNT = "SELECT key, count(*) AS n, min(master_id) AS first_id FROM ({}) GROUP BY key"
+_GROUP = "CASE WHEN x IN ('ring', 'gear') THEN 'round' ELSE x END"
+_DOM = f"list_distinct(list_transform(list_filter({_sql_list('{0}')}, x -> x IN ('ring', 'bolt', 'widget', 'gear')), x -> {_GROUP}))"
+_DEL = f"list_filter({_sql_list('{0}')}, x -> x IN ('hot', 'red'))"
+
+ORACLES = {
+    "normalize_names": f"SELECT p_partkey, {_sql_n(chr(39).join(['p_name || ', ' & ', ' || p_brand']))} AS clean FROM part",
+    "match_keys": f"WITH {_T}, {_K} SELECT row_id, match_key FROM keyed",
+    "token_sets": f"SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter({_sql_list(_sql_n('p_name'))}, x -> length(x) > 1))), ' ') AS identity, array_to_string(list_sort(list_distinct(list_filter({_sql_list(_sql_n(chr(39).join(['p_name || ', ' ', ' || p_brand'])))}, x -> length(x) > 1))), ' ') AS meaningful FROM part",
+    "identity_fingerprint": f"WITH {_T} SELECT row_id, array_to_string(list_sort({_sql_list(_sql_n('name'))}), ' ') AS fingerprint FROM target",
+    "derived_acronyms": f"WITH w AS (SELECT p_partkey, {_sql_list(_sql_n(chr(39).join(['p_name || ', ' ', ' || p_brand'])))} AS ws FROM part), i AS (SELECT p_partkey, array_to_string(list_transform(ws, x -> substr(x, 1, 1)), '') AS s FROM w) SELECT p_partkey, array_to_string(list_sort(list_distinct(list_transform(range(2, length(s) + 1), k -> substr(s, 1, k::INT)))), ' ') AS acronyms FROM i",
+    "canonical_location": f"SELECT p_partkey, {_sql_canon(_sql_n('p_brand'))} AS location FROM part",
+    "domain_groups": f"SELECT p_partkey, array_to_string(list_sort({_DOM.format(_sql_n('p_name'))}), ' ') AS domains FROM part",
+    "header_resolution": "SELECT * FROM (VALUES ('P Name', 1), ('p-brand', 2), ('City', -1), ('P_TYPE', 3)) t(wanted, position)",
+    "distinct_inputs_first": f"WITH {_T}, {_K} SELECT match_key, arg_min(name, row_id) AS name, arg_min(city, row_id) AS city, arg_min(state, row_id) AS state FROM keyed GROUP BY 1",
+    "supplement_master": "SELECT p_partkey AS master_id, p_name AS name, p_brand AS city, p_type AS state FROM part UNION ALL SELECT 900000001, 'odd cog', 'Brand#99', 'EXTRA'",
+    "last_record_wins": "SELECT p_partkey % 500 AS master_id, arg_max(p_name, p_partkey) AS name, arg_max(p_brand, p_partkey) AS city FROM part GROUP BY 1",
+    "posting_tokens": f"WITH {_M} " + _COUNT.format(f"SELECT DISTINCT unnest(list_concat({_sql_list('clean')}, CASE WHEN short = '' THEN [] ELSE [short] END)) AS key, master_id FROM e"),
+    "posting_acronyms": f"WITH {_M} " + _COUNT.format("SELECT short AS key, master_id FROM e WHERE short <> ''"),
+    "posting_locations": f"WITH {_M} " + _COUNT.format("SELECT canon AS key, master_id FROM e"),
+    "variant_index": f"WITH {_M} " + _COUNT.format("SELECT * FROM v"),
+    "exact_tiers": f"WITH {_T}, {_NAMES}, {_M}, {_HITS} " + _COUNT.format("SELECT * FROM hits"),
+    "unique_exact": f"WITH {_T}, {_NAMES}, {_M}, {_HITS} SELECT key, min(master_id) AS master_id FROM hits GROUP BY key HAVING count(DISTINCT master_id) = 1",
+    "detect_location": f"WITH {_T}, t AS (SELECT row_id, {_sql_n('name')} AS text FROM target), p AS (SELECT DISTINCT {_sql_n('p_brand')} AS phrase FROM part UNION SELECT unnest(['brand 1', 'brand 2', 'brand 3', 'brand 4'])), hit AS (SELECT row_id, arg_max(phrase, length(phrase)) AS phrase FROM t JOIN p ON contains(' ' || text || ' ', ' ' || phrase || ' ') GROUP BY 1) SELECT row_id, coalesce({_sql_canon('phrase')}, '') AS location, coalesce(phrase, '') AS phrase FROM t LEFT JOIN hit USING (row_id)",
+    "location_conflict": f"WITH {_T}, {_K}, n AS (SELECT DISTINCT clean, loc FROM keyed WHERE row_id % 6 IN (0, 5)), mm AS (SELECT {_sql_n('p_name')} AS clean, {_sql_canon(_sql_n('p_brand'))} AS mloc FROM part) SELECT n.clean, n.loc, count(mloc) FILTER (mloc <> n.loc) AS n_away FROM n LEFT JOIN mm USING (clean) GROUP BY 1, 2",
+    "verified_overrides": f"WITH {_T}, {_NAMES} SELECT clean, master_id, p_name AS name FROM names JOIN (VALUES ('rs', 11), ('red bolt brand 7', 5)) a(k, master_id) ON k = clean JOIN part ON p_partkey = master_id",
+    "verified_absent": f"WITH {_T}, {_NAMES} SELECT clean FROM names WHERE clean IN ('bb', 'hot ring')",
+    "token_coverage": f"WITH {_T}, {_NAMES}, {_COV} SELECT match_key, clean, cov_in, cov_rec FROM cov",
+    "top_k_candidates": f"WITH {_T}, {_NAMES}, {_COV} SELECT key, name, rank::INT AS rank, confidence FROM s WHERE rank <= 5",
+    "top_two_margin": f"WITH {_T}, {_NAMES}, {_COV} SELECT a.key, a.name, a.confidence - coalesce(b.confidence, 0.0) AS margin FROM s a LEFT JOIN s b ON a.key = b.key AND b.rank = 2 WHERE a.rank = 1",
+    "delivery_conflict": f"WITH c AS (SELECT DISTINCT {_sql_n('p_name')} AS clean FROM part) SELECT a.clean AS bare, b.clean, len({_DEL.format('b.clean')}) > 0 AND list_sort({_DEL.format('a.clean')}) <> list_sort({_DEL.format('b.clean')}) AS conflict FROM c a JOIN c b ON split_part(a.clean, ' ', 2) = split_part(b.clean, ' ', 2)",
+    "domain_conflict": f"WITH c AS (SELECT DISTINCT {_sql_n('p_name')} AS clean FROM part) SELECT a.clean AS bare, b.clean, len({_DOM.format('a.clean')}) > 0 AND len({_DOM.format('b.clean')}) > 0 AND NOT list_has_any({_DOM.format('a.clean')}, {_DOM.format('b.clean')}) AS conflict FROM c a JOIN c b ON split_part(a.clean, ' ', 1) = split_part(b.clean, ' ', 1)",
+    "segment_parents": f"WITH {_T}, {_M}, seg AS (SELECT row_id, unnest([{_sql_n('name')}, {_sql_n('city')}]) AS key FROM target WHERE row_id % 6 = 5) SELECT row_id, count(DISTINCT master_id) AS n, min(master_id) AS first_id FROM seg JOIN v USING (key) GROUP BY 1",
+    "decision_counts": f"WITH {_T}, {_K}, {_D} SELECT decision, count(*) AS n FROM decisions GROUP BY 1",
+    "row_decisions": f"WITH {_T}, {_K}, {_D} SELECT row_id, decision FROM keyed JOIN decisions USING (match_key)",
+    "confidence_buckets": f"WITH {_T}, {_K}, {_D} SELECT count(*) FILTER (confidence >= 95) AS high, count(*) FILTER (confidence >= 80 AND confidence < 95) AS medium, count(*) FILTER (confidence < 80) AS low FROM decisions",
+    "row_audit": f"WITH {_T}, {_K}, {_D} SELECT row_id, name, city, state, decision, coalesce(CAST(master_id AS VARCHAR), 'Not Found') AS master_id, coalesce(matched_name, '') AS matched_name, confidence, reason FROM keyed JOIN decisions USING (match_key)",
+    "write_back": f"WITH {_T}, {_K}, {_D} SELECT row_id, name, city, state, coalesce(CAST(master_id AS VARCHAR), 'Not Found') AS id, CASE decision WHEN 'NOT_FOUND' THEN 'NOT FOUND' WHEN 'NEEDS_REVIEW' THEN 'NEEDS REVIEW' ELSE 'FOUND' END AS match_status, confidence AS confidence_score FROM keyed JOIN decisions USING (match_key)",
+    "review_queue": f"WITH {_T}, {_K}, {_D} SELECT input_name, master_id, matched_name, confidence, reason FROM decisions WHERE decision = 'NEEDS_REVIEW'",
+}
