@@ -56,8 +56,15 @@ def _joined(c):
     return F.array_join(F.array_sort(c), " ")
 
 
+#: Indexes by application and folder: queries over the same master share one.
+_INDEXES: dict[tuple[str, str], I.Index] = {}
+
+
 def _index(spark, d):
-    return I.build(_master(spark, d), RULES, unicode=False)
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        _INDEXES[key] = I.build(_master(spark, d), RULES, unicode=False)
+    return _INDEXES[key]
 
 
 def _names(spark, d):
@@ -314,7 +321,7 @@ _K = f"keyed AS (SELECT *, {_sql_n('name')} AS clean, {_sql_canon(_sql_n('city')
 _M = f"""m AS (SELECT p_partkey AS master_id, p_name AS name, p_brand AS city, '' AS short FROM part UNION ALL SELECT 900000001, 'odd cog', 'Brand#99', 'oc'),
  e AS (SELECT master_id, name, {_sql_n('name')} AS clean, {_sql_n('city')} AS raw, {_sql_canon(_sql_n('city'))} AS canon, short, substr({_sql_n('name')}, 1, 1) || substr(split_part({_sql_n('name')}, ' ', 2), 1, 1) AS acr FROM m),
  f AS (SELECT DISTINCT master_id, unnest([clean, acr, short]) AS form, raw, canon FROM e),
- v AS (SELECT DISTINCT trim(key) AS key, master_id FROM (SELECT form AS key, master_id FROM f UNION ALL SELECT form || ' ' || raw, master_id FROM f UNION ALL SELECT form || ' ' || canon, master_id FROM f UNION ALL SELECT raw, master_id FROM e UNION ALL SELECT canon, master_id FROM e) WHERE trim(key) <> ''),
+ v AS (SELECT DISTINCT trim(key) AS key, master_id FROM (SELECT form AS key, master_id FROM f UNION ALL SELECT form || ' ' || raw, master_id FROM f UNION ALL SELECT form || ' ' || canon, master_id FROM f UNION ALL SELECT raw, master_id FROM e WHERE short = '' UNION ALL SELECT canon, master_id FROM e WHERE short = '') WHERE trim(key) <> ''),
  fp AS (SELECT DISTINCT array_to_string(list_sort({_sql_list('clean')}), ' ') AS key, master_id FROM e UNION SELECT short, master_id FROM e WHERE short <> '')"""
 _NAMES = f"names AS (SELECT DISTINCT {_sql_n('name')} AS clean, {_sql_n('name')} || '||||' AS match_key FROM target)"
 _HITS = """h0 AS (SELECT match_key AS key, master_id, 0 AS tier FROM names JOIN v ON v.key = names.clean UNION SELECT match_key, master_id, 2 FROM names JOIN fp ON fp.key = array_to_string(list_sort(string_split(names.clean, ' ')), ' ')),
@@ -323,21 +330,21 @@ _D = f"""mm AS (SELECT {_sql_n('p_name')} AS clean, {_sql_canon(_sql_n('p_brand'
  inputs AS (SELECT match_key, arg_min(name, row_id) AS input_name, any_value(clean) AS clean, any_value(loc) AS loc FROM keyed GROUP BY 1),
  decisions AS (SELECT match_key, input_name, CASE WHEN n = 1 THEN 'FOUND' WHEN n > 1 THEN 'NEEDS_REVIEW' ELSE 'NOT_FOUND' END AS decision, first_id AS master_id, mname AS matched_name,
  CASE WHEN n = 1 THEN 100.0 WHEN n > 1 THEN greatest(50.0, 100.0 - 5.0 * n) ELSE 0.0 END::DOUBLE AS confidence, 'Exact name and location' AS reason FROM inputs LEFT JOIN mm USING (clean, loc))"""
-_COV = f"""c AS (SELECT DISTINCT {_sql_n('p_name')} AS clean FROM part), a AS (SELECT match_key, list_distinct(list_filter({_sql_list('clean')}, x -> length(x) > 1)) AS mine FROM names),
+_COV = f"""c AS (SELECT DISTINCT {_sql_n('p_name')} AS clean FROM part), a AS (SELECT match_key, list_distinct(list_filter({_sql_list('clean')}, lambda x: length(x) > 1)) AS mine FROM names),
  cov AS (SELECT match_key, clean, len(list_intersect(mine, theirs)) / len(mine)::DOUBLE AS cov_in, len(list_intersect(mine, theirs)) / len(theirs)::DOUBLE AS cov_rec
  FROM a, (SELECT clean, list_distinct({_sql_list('clean')}) AS theirs FROM c) WHERE len(list_intersect(mine, theirs)) > 0),
  s AS (SELECT match_key AS key, clean AS name, 60.0 * cov_in + 40.0 * cov_rec AS confidence, row_number() OVER (PARTITION BY match_key ORDER BY 60.0 * cov_in + 40.0 * cov_rec DESC, clean) AS rank FROM cov)"""
 _COUNT = "SELECT key, count(*) AS n, min(master_id) AS first_id FROM ({}) GROUP BY key"
 _GROUP = "CASE WHEN x IN ('ring', 'gear') THEN 'round' ELSE x END"
-_DOM = f"list_distinct(list_transform(list_filter({_sql_list('{0}')}, x -> x IN ('ring', 'bolt', 'widget', 'gear')), x -> {_GROUP}))"
-_DEL = f"list_filter({_sql_list('{0}')}, x -> x IN ('hot', 'red'))"
+_DOM = f"list_distinct(list_transform(list_filter({_sql_list('{0}')}, lambda x: x IN ('ring', 'bolt', 'widget', 'gear')), lambda x: {_GROUP}))"
+_DEL = f"list_filter({_sql_list('{0}')}, lambda x: x IN ('hot', 'red'))"
 
 ORACLES = {
     "normalize_names": f"SELECT p_partkey, {_sql_n(chr(39).join(['p_name || ', ' & ', ' || p_brand']))} AS clean FROM part",
     "match_keys": f"WITH {_T}, {_K} SELECT row_id, match_key FROM keyed",
-    "token_sets": f"SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter({_sql_list(_sql_n('p_name'))}, x -> length(x) > 1))), ' ') AS identity, array_to_string(list_sort(list_distinct(list_filter({_sql_list(_sql_n(chr(39).join(['p_name || ', ' ', ' || p_brand'])))}, x -> length(x) > 1))), ' ') AS meaningful FROM part",
+    "token_sets": f"SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter({_sql_list(_sql_n('p_name'))}, lambda x: length(x) > 1))), ' ') AS identity, array_to_string(list_sort(list_distinct(list_filter({_sql_list(_sql_n(chr(39).join(['p_name || ', ' ', ' || p_brand'])))}, lambda x: length(x) > 1))), ' ') AS meaningful FROM part",
     "identity_fingerprint": f"WITH {_T} SELECT row_id, array_to_string(list_sort({_sql_list(_sql_n('name'))}), ' ') AS fingerprint FROM target",
-    "derived_acronyms": f"WITH w AS (SELECT p_partkey, {_sql_list(_sql_n(chr(39).join(['p_name || ', ' ', ' || p_brand'])))} AS ws FROM part), i AS (SELECT p_partkey, array_to_string(list_transform(ws, x -> substr(x, 1, 1)), '') AS s FROM w) SELECT p_partkey, array_to_string(list_sort(list_distinct(list_transform(range(2, length(s) + 1), k -> substr(s, 1, k::INT)))), ' ') AS acronyms FROM i",
+    "derived_acronyms": f"WITH w AS (SELECT p_partkey, {_sql_list(_sql_n(chr(39).join(['p_name || ', ' ', ' || p_brand'])))} AS ws FROM part), i AS (SELECT p_partkey, array_to_string(list_transform(ws, lambda x: substr(x, 1, 1)), '') AS s FROM w) SELECT p_partkey, array_to_string(list_sort(list_distinct(list_transform(range(2, length(s) + 1), lambda k: substr(s, 1, k::INT)))), ' ') AS acronyms FROM i",
     "canonical_location": f"SELECT p_partkey, {_sql_canon(_sql_n('p_brand'))} AS location FROM part",
     "domain_groups": f"SELECT p_partkey, array_to_string(list_sort({_DOM.format(_sql_n('p_name'))}), ' ') AS domains FROM part",
     "header_resolution": "SELECT * FROM (VALUES ('P Name', 1), ('p-brand', 2), ('City', -1), ('P_TYPE', 3)) t(wanted, position)",

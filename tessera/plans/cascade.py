@@ -43,6 +43,7 @@ def probes(inputs: DataFrame, index: I.Index, rules: RuleSet, unicode: bool) ->
     p = p.withColumn("p_input", F.when((F.col("loc") != "") & ~F.contains(F.col("identity"), F.col("loc")), F.trim(F.concat_ws(" ", "identity", "loc"))).otherwise(F.col("identity")))
     p = L.with_location(p, "p_input", index.phrases, rules, "p_loc", "p_phrase")
     p = p.withColumn("p_bare", L.without_phrase(F.col("p_input"), F.col("p_phrase")))
+    p = p.persist()
     return p.withColumns({"p_inits": X.initialisms(F.col("p_bare"), rules), "p_all_inits": X.initialisms(F.col("p_input"), rules), "p_tokens": X.identity_tokens(F.col("p_bare"), rules), "p_words": X.tokens(F.col("p_input")), "p_domain": X.domain_markers(F.col("p_bare"), rules)})
 
 
@@ -85,7 +86,7 @@ def match(master: DataFrame, inputs: DataFrame, rules: RuleSet = INSTITUTIONS, s
     spark = master.sparkSession
     index = index or I.build(master, rules, unicode)
     dim = index.dim.select(*[F.col(c).alias({"name": "r_name", "city": "r_city", "state": "r_state"}.get(c, c)) for c in index.dim.columns])
-    p = probes(inputs, index, rules, unicode).withColumn("print", X.fingerprint(F.col("identity")))
+    p = probes(inputs, index, rules, unicode).withColumn("print", X.fingerprint(F.col("identity"))).persist()
     found = []
     if rules.verified_absent:
         gone = list(rules.verified_absent)
