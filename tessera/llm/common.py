@@ -13,12 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker handles at once; one longer text makes a slice of its own.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
+#: Rows of an Arrow batch, where the session has Spark's default.
+BATCH_ROWS = 2000
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, for clusters whose workers cannot import it."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's default: too many whole texts for one batch
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(sc, "_tessera_shipped", False):
         return
     top = Path(__file__).resolve().parents[1]

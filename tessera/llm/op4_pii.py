@@ -47,7 +47,7 @@ ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрс
 _OF = {c: (a, a.index(c)) for a in ALPHABETS for c in a}
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def permute(value: int, size: int, key: bytes, tweak: str) -> int:
     """A keyed permutation of range(size)."""
     if size < 2:

@@ -74,7 +74,7 @@ def split(texts: list[str]) -> tuple[str, list[int], list[int], np.ndarray]:
 class Packed(dict):
     """piece -> its ids as little-endian 32-bit bytes. It holds at most `most` pieces; others are encoded each time."""
 
-    def __init__(self, encode, most: int = 400_000):
+    def __init__(self, encode, most: int = 300_000):
         super().__init__()
         self.encode, self.most = encode, most
 
