@@ -189,8 +189,8 @@ def structural_identity(raw: Column, rules: RuleSet = INSTITUTIONS, unicode: boo
     markers = arr(rules.identity_markers)
     hits = F.transform(clean, lambda s: F.arrays_overlap(tokens(s), markers)) if rules.identity_markers else F.transform(clean, lambda s: F.lit(False))
     start = F.greatest(F.array_position(hits, True).cast("int"), F.lit(1))
-    first, later = F.element_at(clean, start), F.slice(clean, start + 1, F.greatest(F.size(clean) - start, F.lit(0)))
-    pair = F.split(F.element_at(parts, start), r"(?U)\s+-\s+", 2)
+    first, later = F.get(clean, start - 1), F.slice(clean, start + 1, F.greatest(F.size(clean) - start, F.lit(0)))
+    pair = F.split(F.get(parts, start - 1), r"(?U)\s+-\s+", 2)
     named = F.trim(_segments(F.get(pair, F.lit(1)), rules, unicode))
     words = tokens(first)
     leads = F.get(words, F.lit(0)).isin("department", "faculty", "school", "institute", "college") | F.startswith(first, F.lit("university institute "))

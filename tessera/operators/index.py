@@ -90,13 +90,14 @@ class Index:
 
 def build(master: DataFrame, rules: RuleSet = INSTITUTIONS, unicode: bool = True) -> Index:
     """Postings hold all rows; of rows with one id the last is the record. The enriched rows,
-    the phrases and the records are persisted: everything else is made from them."""
-    rows = enriched(supplemented(validated(master), rules), rules, unicode).persist()
-    phrases = L.phrase_dictionary(rows.select(F.col("raw_city").alias("raw"), F.col("clean_city").alias("clean")), rules).persist()
+    the phrases and the records are checkpointed: everything else is made from them."""
+    rows = L.cut(enriched(supplemented(validated(master), rules), rules, unicode))
+    phrases = L.cut(L.phrase_dictionary(rows.select(F.col("raw_city").alias("raw"), F.col("clean_city").alias("clean")), rules))
     dim = last_record(rows.drop("variants", "fingerprints"))
     dim = L.with_location(dim, "clean_name", phrases, rules, "name_city")
     dim = L.with_location(dim, "clean_short", phrases, rules, "short_city")
-    dim = dim.withColumn("cities", F.array_distinct(F.filter(F.array("clean_city", "name_city", "short_city"), lambda c: c != ""))).persist()
+    dim = dim.withColumn("cities", F.array_distinct(F.filter(F.array("clean_city", "name_city", "short_city"), lambda c: c != "")))
+    dim = L.cut(dim)
     acronyms = postings(rows, F.col("acronym_keys"))
     located = postings(dim, F.col("cities")).union(postings(rows, F.array("clean_city"))).distinct()
     once = acronyms.groupBy("key").agg(F.count("*").alias("n"), F.min("master_id").alias("master_id")).where("n = 1")
@@ -112,7 +113,7 @@ def build(master: DataFrame, rules: RuleSet = INSTITUTIONS, unicode: bool = True
         "families": X.families(name, F.col("clean_short"), rules), "values": F.array_distinct(F.concat(F.array("clean_name", "base_name", "clean_short"), F.col("abbreviations"))),
     })
     both = F.concat("ident_base", "ident_short")
-    dim = dim.persist()
+    dim = L.cut(dim)
     return Index(dim, postings(rows, F.col("variants")), postings(rows, F.col("fingerprints")), postings(rows, both), acronyms, located, phrases)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,14 @@ def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder of spark.checkpoint.dir (a local one only where the session has none): later plans start from its rows."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+    return df.checkpoint()
+
+
 def phrase_dictionary(locations: DataFrame, rules: RuleSet = INSTITUTIONS) -> DataFrame:
     """phrase, canonical, n_words from rows of (raw, clean) locations and the alias names."""
     spark = locations.sparkSession

@@ -35,15 +35,15 @@ def probes(inputs: DataFrame, index: I.Index, rules: RuleSet, unicode: bool) ->
     p = inputs.select(F.col("match_key").alias("key"), *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("name", "city", "state")))
     p = p.withColumns({"clean": n(F.col("name")), "raw_id": X.structural_identity(F.col("name"), rules, unicode), "clean_city_in": X.canonical(n(F.col("city")), rules)})
     p = p.withColumn("identity", X.match_phrase(F.col("raw_id"), rules))
-    p = L.with_location(p, "clean", index.phrases, rules, "name_loc")
+    # each detection reads its input twice: checkpointed, so that plans do not double
+    p = L.with_location(L.cut(p), "clean", index.phrases, rules, "name_loc")
     add = (F.col("clean_city_in") != "") & (F.col("name_loc") == "")
     p = p.withColumn("context", F.when(add, n(F.concat_ws(" ", "name", "city"))).otherwise(F.col("clean")))
-    p = L.with_location(p, "context", index.phrases, rules, "loc")
+    p = L.with_location(L.cut(p), "context", index.phrases, rules, "loc")
     p = p.withColumn("ctx_inits", X.initialisms(F.col("context"), rules))
     p = p.withColumn("p_input", F.when((F.col("loc") != "") & ~F.contains(F.col("identity"), F.col("loc")), F.trim(F.concat_ws(" ", "identity", "loc"))).otherwise(F.col("identity")))
-    p = L.with_location(p, "p_input", index.phrases, rules, "p_loc", "p_phrase")
+    p = L.with_location(L.cut(p), "p_input", index.phrases, rules, "p_loc", "p_phrase")
     p = p.withColumn("p_bare", L.without_phrase(F.col("p_input"), F.col("p_phrase")))
-    p = p.persist()
     return p.withColumns({"p_inits": X.initialisms(F.col("p_bare"), rules), "p_all_inits": X.initialisms(F.col("p_input"), rules), "p_tokens": X.identity_tokens(F.col("p_bare"), rules), "p_words": X.tokens(F.col("p_input")), "p_domain": X.domain_markers(F.col("p_bare"), rules)})
 
 
@@ -86,7 +86,8 @@ def match(master: DataFrame, inputs: DataFrame, rules: RuleSet = INSTITUTIONS, s
     spark = master.sparkSession
     index = index or I.build(master, rules, unicode)
     dim = index.dim.select(*[F.col(c).alias({"name": "r_name", "city": "r_city", "state": "r_state"}.get(c, c)) for c in index.dim.columns])
-    p = probes(inputs, index, rules, unicode).withColumn("print", X.fingerprint(F.col("identity"))).persist()
+    p = probes(inputs, index, rules, unicode).withColumn("print", X.fingerprint(F.col("identity")))
+    p = L.cut(p)
     found = []
     if rules.verified_absent:
         gone = list(rules.verified_absent)
@@ -117,7 +118,7 @@ def match(master: DataFrame, inputs: DataFrame, rules: RuleSet = INSTITUTIONS, s
         early = early.union(f)
     cols = ["rule", "master_id", "decision", "confidence", "reason"]
     early = early.groupBy("key").agg(F.min_by(F.struct(*cols), F.struct("rule", F.coalesce("master_id", F.lit(0)))).alias("r")).select("key", "r.*")
-    early = early.persist()
+    early = L.cut(early)
     rest = p.join(early.select("key"), "key", "left_anti")
     pool = candidates(rest, index, rules)
     ranked = rank(S.scored(pool.join(rest, "key").join(dim, "master_id"), rules, scorer), top)
