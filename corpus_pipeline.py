@@ -35,12 +35,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: the one with the smallest doc_id (one row of it, if it repeats)."""
+    """Keeps one document of each group: the one with the smallest doc_id (one row of it, if it repeats). Rows without a doc_id are kept.
+
+    The ids kept grow with the corpus, so they are joined by a shuffle at every size.
+    """
     groups = simhash.simhash_components(docs.select("doc_id", "text"))
-    # a group's first row: rows are numbered by position only where one id repeats
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first.hint("shuffle_hash") if first.count() > 100_000 else F.broadcast(first), "doc_id", "left_semi")
-    return one_row_per_id(kept).select(*COLUMNS)
+    kept = one_row_per_id(docs.join(first.hint("shuffle_hash"), "doc_id", "left_semi")).select(*COLUMNS)
+    return kept.unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def one_row_per_id(docs: DataFrame) -> DataFrame:
