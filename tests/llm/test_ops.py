@@ -164,3 +164,19 @@ def test_pipeline(spark):
 
     out = corpus_pipeline.run(spark, DIR)
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def test_near_duplicate_stage(spark):
+    import corpus_pipeline as cp
+
+    docs = cp.table(spark, DIR, "documents").select(*cp.COLUMNS)
+    nameless = spark.createDataFrame([(None, "no id here", None, None, None)], docs.schema)
+    docs = docs.unionByName(docs.orderBy("doc_id").limit(3)).unionByName(nameless)
+    named = [(r.doc_id, op10_simhash.fingerprint(r.text or "")) for r in docs.collect() if r.doc_id is not None]
+    ids, fp = np.array([i for i, _ in named]), np.array([f for _, f in named], np.uint64)
+    label, was = ids, None
+    while was is None or (label != was).any():
+        was, label = label, np.array([label[np.bitwise_count(fp ^ f) <= 3].min() for f in fp])
+    got = [r.doc_id for r in cp.near_duplicate_stage(spark, docs, DIR).collect()]
+    assert got.count(None) == 1
+    assert sorted(i for i in got if i is not None) == sorted({int(i) for i in ids[ids == label]})
