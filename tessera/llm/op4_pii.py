@@ -2,8 +2,9 @@
 
 Entities found in whole texts are replaced by keyed surrogates of the same kind, script and format. A surrogate is a keyed permutation (a Feistel
 network with cycle walking) of the entity among all strings of its format: each letter stays a letter of its script and case, each digit a digit,
-separators stay; card numbers that pass the Luhn check map to such numbers, addresses stay in their class (private, public, ...), first names map
-within the list of their gender. A permutation gives distinct entities distinct surrogates and every mention of one entity the same surrogate. The
+separators stay; card numbers that pass the Luhn check map to such numbers, addresses stay in their class (private, public, ...). Names, known by their
+titles, change word by word: known first names within the list of their gender, other words outside both lists. A word has one surrogate whatever its
+title, and stands for it in mentions without a title in the same text too. A permutation gives distinct entities distinct surrogates and every mention of one entity the same surrogate. The
 collision check still compares all distinct entities of the corpus with their surrogates, and a kind that has a collision gets its next key.
 
 Null texts stay null and empty texts empty. Repeated rows give repeated results; other columns, and a null doc_id, are kept.
@@ -27,7 +28,7 @@ KEY = b"surrogates"
 ATTEMPTS = 8
 
 _TITLE_F, _TITLE_M = r"Mrs|Ms|Miss|Madame|Mme|Frau|Señora|Sra", r"Mr|Monsieur|Herr|Señor|Sr"
-_NAME = r"[^\Wa-z\d_](?:[^\W\d_]|['’-])+"
+_NAME = r"[^\Wa-z\d_](?:[^\W\d_]|['’-](?=[^\Wa-z\d_]))+"
 ENTITY = re.compile(
     r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b)"
@@ -37,6 +38,7 @@ ENTITY = re.compile(
     r"|(?P<card>(?<![\d.-])(?:\d{4}[\x20-]?){3}\d{1,7}(?![\d]))"
     rf"|\b(?:(?P<tf>{_TITLE_F})|(?P<tm>{_TITLE_M})|Dr|Prof)\.?\x20(?P<name>{_NAME}(?:\x20{_NAME})?)"
 )
+NAME = re.compile(rf"\b{_NAME}")
 #: What a text must hold for any pattern to match: a digit, an at sign or a title.
 LIKELY = re.compile(rf"[0-9@]|\b(?:{_TITLE_F}|{_TITLE_M}|Dr|Prof)\b")
 
@@ -113,14 +115,26 @@ def surrogate(kind: str, text: str, key: bytes) -> str:
     if kind == "iban":
         return reshaped(text, key, "iban|case", frozenset((0, 1)))
     if kind.startswith("name"):
-        first, _, rest = text.partition(" ")
-        for pool, gender in ((WOMEN, "name_f"), (MEN, "name_m")):
-            if first in pool and kind in (gender, "name"):
-                return pool[permute(pool.index(first), len(pool), key, gender)] + (" " + reshaped(rest, key, "family") if rest else "")
-        return reshaped(text, key, kind)
+        return " ".join(renamed(w, key) for w in text.split(" "))
     return reshaped(text, key, kind)
 
 
+def renamed(word: str, key: bytes) -> str:
+    """The surrogate of one word of a name."""
+    for pool, gender in ((WOMEN, "name_f"), (MEN, "name_m")):
+        if word in pool:
+            return pool[permute(pool.index(word), len(pool), key, gender)]
+    while True:  # walked past the lists, so that no other word takes the place of a first name's surrogate
+        word = reshaped(word, key, "name")
+        if word not in WOMEN and word not in MEN:
+            return word
+
+
+def keyring(kind: str) -> str:
+    """Names share one key, whatever their titles say."""
+    return kind.partition("_")[0]
+
+
 def normal(kind: str, text: str) -> str:
     """What all mentions of one entity have in common."""
     return text.lower() if kind == "email" else text
@@ -128,7 +142,7 @@ def normal(kind: str, text: str) -> str:
 
 def entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities of a text, in order."""
-    out = []
+    out, named = [], {}
     if not LIKELY.search(text):
         return out
     for m in ENTITY.finditer(text):
@@ -137,6 +151,17 @@ def entities(text: str) -> list[tuple[int, int, str]]:
             continue
         full = kind if kind != "name" else "name_f" if m["tf"] else "name_m" if m["tm"] else "name"
         out.append((*m.span(kind), full))
+        if kind == "name":
+            named |= {w: full for w in m["name"].split(" ") if len(w) > 2}
+    if named:  # the same names where they have no title
+        taken = iter([*out, (len(text) + 1, len(text) + 1, "")])
+        start, end, _ = next(taken)
+        for m in NAME.finditer(text):
+            while end <= m.start():
+                start, end, _ = next(taken)
+            if m[0] in named and m.end() <= start:
+                out.append((*m.span(), named[m[0]]))
+        out.sort()
     return out
 
 
@@ -148,7 +173,7 @@ def replaced(text: str, key: bytes, attempts: dict[str, int]) -> tuple[str, list
     """The text with its surrogates, and the kinds of the entities replaced."""
     out, at, kinds = [], 0, []
     for a, b, kind in entities(text):
-        out += [text[at:a], surrogate(kind, normal(kind, text[a:b]), keyed(key, kind, attempts.get(kind, 0)))]
+        out += [text[at:a], surrogate(kind, normal(kind, text[a:b]), keyed(key, keyring(kind), attempts.get(keyring(kind), 0)))]
         at = b
         kinds.append(kind)
     return "".join([*out, text[at:]]), kinds
@@ -161,7 +186,7 @@ def attempts_without_collision(docs: DataFrame, key: bytes = KEY) -> dict[str, i
 
     def find(batches):
         for batch in batches:
-            rows = {(k, normal(k, t[a:b])) for t in batch.column(0).to_pylist() if t for a, b, k in entities(t)}
+            rows = {(keyring(k), normal(k, t[a:b])) for t in batch.column(0).to_pylist() if t for a, b, k in entities(t)}
             rows = sorted(rows)
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], schema=fields)
 

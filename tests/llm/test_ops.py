@@ -153,6 +153,15 @@ def test_surrogates(spark, docs):
     mails = re.findall(r"\S+@\S+?(?=,|\s)", out)
     assert mails[0] == mails[1] and "a.b@" not in out
     assert op4_pii.luhn(re.search(r"\b\d{16}\b", out)[0]) and re.search(r"\b10\.\d+\.\d+\.\d+", out)
+    text = "Mrs. Anna O'Brien met Dr Schmidt. Anna told Prof. Anna Schmidt's aide; Schmidt-Meyer and Annabel left, Mr. Schmidt stayed."
+    out, kinds = op4_pii.replaced(text, op4_pii.KEY, {})
+    word = lambda w: op4_pii.renamed(w, op4_pii.keyed(op4_pii.KEY, "name", 0))
+    want = text
+    for w in ("O'Brien", r"Anna\b", r"Schmidt(?!-)"):
+        want = re.sub(w, lambda m: f"<{m[0]}>", want)
+    assert out == re.sub("<(.+?)>", lambda m: word(m[1]), want) and word("Anna") in op4_pii.WOMEN
+    assert kinds == ["name_f", "name", kinds[2], "name", "name_m"] and kinds[2].startswith("name")
+    assert len({word(w) for w in (*op4_pii.WOMEN, *op4_pii.MEN, "Ulf", "Eve", "Zoe")}) == len(op4_pii.WOMEN) + len(op4_pii.MEN) + 3
     size = 1000
     assert sorted(op4_pii.permute(i, size, b"k", "t") for i in range(size)) == list(range(size))
     got = op4_pii.with_surrogates(docs).collect()
