@@ -334,6 +334,11 @@ _COV = f"""c AS (SELECT DISTINCT {_sql_n('p_name')} AS clean FROM part), a AS (S
  cov AS (SELECT match_key, clean, len(list_intersect(mine, theirs)) / len(mine)::DOUBLE AS cov_in, len(list_intersect(mine, theirs)) / len(theirs)::DOUBLE AS cov_rec
  FROM a, (SELECT clean, list_distinct({_sql_list('clean')}) AS theirs FROM c) WHERE len(list_intersect(mine, theirs)) > 0),
  s AS (SELECT match_key AS key, clean AS name, 60.0 * cov_in + 40.0 * cov_rec AS confidence, row_number() OVER (PARTITION BY match_key ORDER BY 60.0 * cov_in + 40.0 * cov_rec DESC, clean) AS rank FROM cov)"""
+#: A record's words or short form among the words of a name, or its short form at the head of the name's initials.
+_POOL = f"""tok AS (SELECT DISTINCT unnest(list_concat({_sql_list('clean')}, CASE WHEN short = '' THEN [] ELSE [short] END)) AS k, master_id FROM e),
+ w AS (SELECT match_key AS key, unnest(list_distinct({_sql_list('clean')})) AS k FROM names),
+ pool AS (SELECT key, master_id FROM w JOIN tok USING (k) WHERE length(k) > 1
+ UNION SELECT match_key, master_id FROM names JOIN e ON short <> '' AND starts_with(array_to_string(list_transform({_sql_list('names.clean')}, lambda x: substr(x, 1, 1)), ''), short))"""
 _COUNT = "SELECT key, count(*) AS n, min(master_id) AS first_id FROM ({}) GROUP BY key"
 _GROUP = "CASE WHEN x IN ('ring', 'gear') THEN 'round' ELSE x END"
 _DOM = f"list_distinct(list_transform(list_filter({_sql_list('{0}')}, lambda x: x IN ('ring', 'bolt', 'widget', 'gear')), lambda x: {_GROUP}))"
@@ -359,6 +364,7 @@ ORACLES = {
     "unique_exact": f"WITH {_T}, {_NAMES}, {_M}, {_HITS} SELECT key, min(master_id) AS master_id FROM hits GROUP BY key HAVING count(DISTINCT master_id) = 1",
     "detect_location": f"WITH {_T}, t AS (SELECT row_id, {_sql_n('name')} AS text FROM target), p AS (SELECT DISTINCT {_sql_n('p_brand')} AS phrase FROM part UNION SELECT unnest(['brand 1', 'brand 2', 'brand 3', 'brand 4'])), hit AS (SELECT row_id, arg_max(phrase, length(phrase)) AS phrase FROM t JOIN p ON contains(' ' || text || ' ', ' ' || phrase || ' ') GROUP BY 1) SELECT row_id, coalesce({_sql_canon('phrase')}, '') AS location, coalesce(phrase, '') AS phrase FROM t LEFT JOIN hit USING (row_id)",
     "location_conflict": f"WITH {_T}, {_K}, n AS (SELECT DISTINCT clean, loc FROM keyed WHERE row_id % 6 IN (0, 5)), mm AS (SELECT {_sql_n('p_name')} AS clean, {_sql_canon(_sql_n('p_brand'))} AS mloc FROM part) SELECT n.clean, n.loc, count(mloc) FILTER (mloc <> n.loc) AS n_away FROM n LEFT JOIN mm USING (clean) GROUP BY 1, 2",
+    "candidate_blocking": f"WITH {_T}, {_NAMES}, {_M}, {_POOL} " + _COUNT.format("SELECT * FROM pool"),
     "verified_overrides": f"WITH {_T}, {_NAMES} SELECT clean, master_id, p_name AS name FROM names JOIN (VALUES ('rs', 11), ('red bolt brand 7', 5)) a(k, master_id) ON k = clean JOIN part ON p_partkey = master_id",
     "verified_absent": f"WITH {_T}, {_NAMES} SELECT clean FROM names WHERE clean IN ('bb', 'hot ring')",
     "token_coverage": f"WITH {_T}, {_NAMES}, {_COV} SELECT match_key, clean, cov_in, cov_rec FROM cov",

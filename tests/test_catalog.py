@@ -1,5 +1,7 @@
 """Every query with a DuckDB equivalent gives the same rows; the others run."""
 
+from difflib import SequenceMatcher
+
 import duckdb
 import pytest
 
@@ -36,3 +38,35 @@ def test_query(spark, duck, name):
     want = rows(names, c.fetchall())
     assert rows(df.columns, got) == want
     assert want or name.startswith("verified")
+
+
+def common(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row, was = [0], row
+        for j, y in enumerate(b):
+            row.append(was[j] + 1 if x == y else max(was[j + 1], row[j]))
+    return row[-1]
+
+
+def test_lexical_score_brute(spark, duck):
+    want = {}
+    for row_id, a, b in duck.execute(f"SELECT row_id, {catalog._sql_n('name')}, lower(state) FROM ({catalog.TARGET})").fetchall():
+        want[row_id] = (100 * SequenceMatcher(None, a, b).ratio(), 200 * common(a, b) / (len(a) + len(b)))
+    got = catalog.lexical_score(spark, DIR).collect()
+    assert {r.row_id for r in got} == set(want)
+    for r in got:
+        assert (r.difflib, r.indel) == pytest.approx(want[r.row_id], abs=1e-5)
+
+
+def test_fuzzy_fallback_brute(spark, duck):
+    head = f"WITH {catalog._T}, {catalog._NAMES}, {catalog._M}, {catalog._POOL} "
+    lone = duck.execute(head + "SELECT match_key, clean FROM names WHERE match_key NOT IN (SELECT key FROM pool) AND clean <> ''").fetchall()
+    variants = [v for (v,) in duck.execute(head + "SELECT DISTINCT key FROM v").fetchall()]
+    want = set()
+    for key, a in lone:
+        words = set(a.split())
+        pairs = [(-100 * SequenceMatcher(None, a, v).ratio(), v) for v in variants if words & set(v.split())]
+        want |= {(key, v, i) for i, (_, v) in enumerate(sorted(x for x in pairs if x[0] <= -25)[:100], 1)}
+    assert want and {(r.key, r.variant, r["rank"]) for r in catalog.fuzzy_fallback(spark, DIR).collect()} == want
