@@ -10,11 +10,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import near
 from tessera.llm import op3_packing as packing
 from tessera.llm import op4_pii as pii
 from tessera.llm import op7_language as language
 from tessera.llm import op9_quality as quality
-from tessera.llm import op10_simhash as simhash
 from tessera.llm.common import cut, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -35,11 +35,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: the one with the smallest doc_id (one row of it, if it repeats). Rows without a doc_id are kept.
+    """Keeps one document of each group of five-word similarity 0.8 or more: the one with the smallest doc_id (one row of it, if it repeats). Rows without a doc_id are kept.
 
     The ids kept grow with the corpus, so they are joined by a shuffle at every size.
     """
-    groups = simhash.simhash_components(docs.select("doc_id", "text"))
+    groups = near.near_duplicate_groups(docs)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     kept = one_row_per_id(docs.join(first.hint("shuffle_hash"), "doc_id", "left_semi")).select(*COLUMNS)
     return kept.unionByName(docs.where("doc_id is null").select(*COLUMNS))
