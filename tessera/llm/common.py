@@ -35,11 +35,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one is set only where the session names none (tests)."""
+    """The folder named by spark.checkpoint.dir. A local one is set only where the session names none and runs on one machine (tests); elsewhere its lack is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_tessera_dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tessera-shared-')}"
         spark.sparkContext._tessera_dir = found
     return found.rstrip("/")
@@ -68,6 +70,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def without(docs: DataFrame, names) -> DataFrame:
+    """The table less the columns whose names (in any case) a result needs for its own."""
+    taken = {n.lower() for n in names}
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken])
+
+
 def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """(start, stop) of consecutive texts of about limit characters together."""
     start = size = 0

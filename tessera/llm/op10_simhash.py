@@ -3,7 +3,8 @@
 A fingerprint's 64 bits are cut into segments of two bits, and the bit counts of the segments are its point. The Manhattan distance of two points
 is at most the fingerprints' Hamming distance. The segments form `groups` groups; two points within distance d differ in at most d groups, so they
 lie in the same unit cell of the grid over some `groups - d` groups. Cells of all such projections are the keys of the range join; pairs of a cell
-are kept by Manhattan distance, then by exact Hamming distance. No pair within d bits is lost.
+are kept by Manhattan distance, then by exact Hamming distance. No pair within d bits is lost, whatever the number of groups; more groups make more
+but smaller cells, so their number follows from that of the distinct fingerprints.
 
 Null and empty texts have no words and the fingerprint zero, which links like any other. Repeated rows give repeated results. A row with a null
 doc_id gets its fingerprint and its component; component_id is the smallest doc_id that is not null (null if there is none).
@@ -12,6 +13,7 @@ doc_id gets its fingerprint and its component; component_id is the smallest doc_
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,9 @@ from pyspark.sql import functions as F
 from .buckets import compare, components
 from .common import cut, ship, slices, table, texts_of
 
-BITS, GROUPS, WORDS, SEED = 3, 6, 3, 42
+BITS, WORDS, SEED = 3, 3, 42
+#: Fewest and most groups; bits of collision entropy of one segment's count (0, 1, 2 with shares 1/4, 1/2, 1/4).
+GROUPS, MOST_GROUPS, ENTROPY = 6, 12, -np.log2(3 / 8)
 
 
 def fingerprint(text: str, words: int = WORDS) -> int:
@@ -79,6 +83,11 @@ def cells(points: np.ndarray, bits: int, groups: int) -> np.ndarray:
     return np.stack(out, 1).view(np.int64)
 
 
+def groups_for(n: int, bits: int = BITS) -> int:
+    """The number of groups with the least work: keys of a row, each with itself and the mates to expect among n fingerprints."""
+    return min(range(max(GROUPS, bits + 1), max(MOST_GROUPS, bits + 2) + 1), key=lambda g: comb(g, bits) * (1 + n / 2 ** (ENTROPY * 32 * (g - bits) / g)))
+
+
 def near_fingerprints(distinct: DataFrame, bits: int = BITS, groups: int = GROUPS) -> DataFrame:
     """node, links and least of the distinct fingerprints (node long, weight long) that have another within `bits` bits."""
     kinds = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("weight", pa.int64())])
@@ -105,11 +114,11 @@ def near_fingerprints(distinct: DataFrame, bits: int = BITS, groups: int = GROUP
     return compare(cut(distinct.mapInArrow(keyed, "key long, node long, weight long")), prepare)
 
 
-def simhash_components(docs: DataFrame, bits: int = BITS, groups: int = GROUPS) -> DataFrame:
+def simhash_components(docs: DataFrame, bits: int = BITS, groups: int | None = None) -> DataFrame:
     """doc_id, fingerprint and component_id of each row."""
     rows = cut(fingerprints(docs))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    edges = near_fingerprints(distinct.select(F.col("fp").alias("node"), F.lit(1).cast("long").alias("weight")), bits, groups)
+    edges = near_fingerprints(distinct.select(F.col("fp").alias("node"), F.lit(1).cast("long").alias("weight")), bits, groups or groups_for(distinct.count(), bits))
     roots = components(edges.select("node", "least"))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = cut(named)

@@ -4,8 +4,8 @@ Every document's rolling word k-gram hashes are joined with the positions of the
 template and offset diagonal; neighbouring diagonals (words inserted or left out) are merged; a merged group with enough votes is a span, which is
 verified on the words themselves by their longest common subsequence with the template. Base phrases are counted in the same pass over the text.
 
-Null and empty texts have no words: counts zero, first_word and last_word null, labels empty, score zero. Repeated rows give repeated results; rows
-that share a doc_id but not a text stay apart; a null doc_id is kept.
+Null and empty texts have no words: counts zero, first_word and last_word null, labels empty, score zero. Repeated rows give repeated results (their
+votes count once); rows that share a doc_id but not a text stay apart; a null doc_id is kept. Only the columns doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import cut, row_key, ship, slices, table, texts_of
 from .words import WORD_BYTES, grams, hashes, joined, runs
 
-K, GAP, VOTES, SIMILARITY = 4, 3, 0.3, 0.8
+K, GAP, SIMILARITY = 4, 3, 0.8
 #: Templates may hold so many words together that their join table stays small enough to broadcast.
 TEMPLATE_WORDS = 100_000
 
@@ -61,6 +61,11 @@ def template_positions(spark: SparkSession, templates: list[tuple[str, str]], k:
     return spark.createDataFrame(rows, "h long, template int, position int")
 
 
+def least_votes(n: int, k: int = K, similarity: float = SIMILARITY) -> int:
+    """The k-grams of a template of n words that survive any changes a verified span may have, but at least one."""
+    return max(1, n - k + 1 - k * int(round((1 - similarity) * n, 9)))
+
+
 def common_words(a: list[bytes], b: list[bytes]) -> int:
     """Length of the longest common subsequence."""
     code: dict[bytes, int] = {}
@@ -115,7 +120,8 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").withColumn("rk", row_key("doc_id", "text"))
     base = source.select("doc_id", "rk", "text").mapInArrow(run, "doc_id long, rk long, n_words long, n_base long, first_word long, last_word long, base_labels string, grams array<long>")
     places = template_positions(spark, templates, k)
-    votes = base.select("doc_id", "rk", F.posexplode("grams").alias("p", "h")).join(F.broadcast(places), "h")
+    # equal rows share rk: a place votes once
+    votes = base.select("doc_id", "rk", F.posexplode("grams").alias("p", "h")).join(F.broadcast(places), "h").dropDuplicates(["doc_id", "rk", "template", "position", "p"])
     diagonals = votes.groupBy("doc_id", "rk", "template", (F.col("p") - F.col("position")).cast("long").alias("diagonal")).agg(
         F.count("*").alias("votes"), F.min("p").alias("low"), F.max("p").alias("high"), F.min("position").alias("t_low")
     )
@@ -123,7 +129,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     near = diagonals.withColumn("new", (F.col("diagonal") - F.lag("diagonal", 1, -(1 << 40)).over(by) > gap).cast("int"))
     near = near.withColumn("run", F.sum("new").over(by)).groupBy("doc_id", "rk", "template", "run").agg(F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"))
     sizes = [len(word_list(text)) for _, text in templates]
-    least = F.array(*[F.lit(max(1.0, VOTES * (n - k + 1))) for n in sizes])
+    least = F.array(*[F.lit(least_votes(n, k)) for n in sizes])
     spans = near.where(F.col("votes") >= F.element_at(least, F.col("template") + 1))
     spans = cut(spans.groupBy("doc_id", "rk").agg(F.collect_list(F.struct("template", "low", "high")).alias("spans")))
     texts_kinds = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("similarity", pa.float64())])

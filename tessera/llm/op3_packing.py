@@ -1,10 +1,11 @@
 """Sum-of-squares packing of documents into fixed-length sequences.
 
 Each document is encoded and ends with an end token; what exceeds a sequence is cut so that every piece but the first is full. Pieces are dealt by
-hash into shards of bounded size; within a shard, longest first, each piece goes where the sum over gaps of the squared number of open sequences
-with that gap becomes smallest (a new sequence is one of the choices). A shard's state is one counter and one stack for each gap.
+hash into shards of bounded size; within a shard, longest first, each piece goes into the open sequence where the sum over gaps of the squared number
+of open sequences with that gap becomes smallest; a new sequence is opened where none has room. (With a new sequence as one more choice at any time,
+as for lengths that arrive in random order, lengths in descending order need more sequences.) A shard's state is one counter and one stack for each gap.
 
-Null and empty texts give the end token alone. Equal rows are pieces of their own. A null doc_id is kept.
+Null and empty texts give the end token alone. Equal rows are pieces of their own. A null doc_id is kept. Only the columns doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -91,7 +92,7 @@ def document_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence number and offset of each length, placed in the order given."""
+    """Sequence number and offset of each length, placed in the order given. Ties go to the smaller gap that is left."""
     gaps = np.zeros(capacity + 1, np.int64)  # open sequences by gap
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
     where, offset, made = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
@@ -100,9 +101,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
         change = gaps[: capacity + 1 - n] - gaps[n:] + 1.0
         change[0] = 0.5 - gaps[n]
         change[gaps[n:] == 0] = np.inf
-        fresh = gaps[capacity - n] + 0.5 if n < capacity else 0.0
         h = int(change.argmin())
-        if change[h] <= fresh:
+        if change[h] < np.inf:
             h += n
             s = stacks[h].pop()
             gaps[h] -= 1
@@ -115,40 +115,6 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     return where, offset
 
 
-def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence number and offset of each length, placed in the order given where the least gap stays."""
-    open_ = np.zeros(capacity + 1, np.int64)
-    stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
-    where, offset, made = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
-    for i, n in enumerate(lengths.tolist()):
-        h = n + int((open_[n:] > 0).argmax())
-        if open_[h]:
-            s = stacks[h].pop()
-            open_[h] -= 1
-        else:
-            h, s, made = capacity, made, made + 1
-        where[i], offset[i] = s, capacity - h
-        if h > n:
-            open_[h - n] += 1
-            stacks[h - n].append(s)
-    return where, offset
-
-
-def place(lengths: np.ndarray, capacity: int = CAPACITY, slack: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of squares over lengths in descending order, then repair: sequences left with a gap over `slack` are emptied and their pieces placed
-    again by best fit, as long as that needs fewer sequences."""
-    where, offset = sum_of_squares(lengths, capacity)
-    filled = np.bincount(where, weights=lengths, minlength=where.max() + 1 if len(where) else 0)
-    loose = np.flatnonzero(filled < capacity - slack)
-    again = np.flatnonzero(np.isin(where, loose))
-    if len(again):
-        w, o = best_fit(lengths[again], capacity)
-        if w.max() + 1 < len(loose):
-            names = np.append(loose, np.arange(len(filled), len(filled) + len(again)))
-            where[again], offset[again] = names[w], o
-    return where, offset
-
-
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """Adds sequence_id and offset to rows with doc_id, piece, length; any number of rows, `shard` to a task."""
     ship(pieces.sparkSession)
@@ -158,7 +124,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
 
     def run(got: pa.Table) -> pa.Table:
         got = got.combine_chunks().sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
-        where, offset = place(got["length"].to_numpy(), capacity)
+        where, offset = sum_of_squares(got["length"].to_numpy(), capacity)
         base = got["shard"][0].as_py() << 32
         return got.drop_columns(["shard"]).append_column("sequence_id", pa.array(where + base)).append_column("offset", pa.array(offset))
 

@@ -5,7 +5,7 @@ such hashes into one bucket; each vector also enters the buckets of its next lik
 exactly, in double precision; a pair found in several buckets counts in the first of them only, which each task can tell from the two vectors.
 
 A vector that is null, zero, or holds a null or non-finite component links with nothing. Equal vectors are one class with its number of vectors.
-Repeated rows of one vec_id are one vector. A null vec_id takes no part: its row has null ids, no links and kept null. Vectors are padded with
+Repeated rows of one vec_id are one vector; a vec_id with several vectors has a row of its own, and a component, for each. A null vec_id takes no part: its row has null ids, no links and kept null. Vectors are padded with
 zeros to a power of two; vectors of different lengths never link.
 """
 
@@ -157,12 +157,15 @@ def embedding_components(vectors: DataFrame, cosine: float = COSINE, tables: int
     ship(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(usable("embedding"), F.col("embedding")).alias("embedding"))
     live = rows.where("vec_id is not null and embedding is not null")
-    classes = cut(live.distinct().groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")))
+    # classes are known by a hash of their vector: one vec_id may come with several vectors
+    classes = cut(live.distinct().groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight")).withColumn("node", F.xxhash64("embedding")))
     found = cut(linked_vectors(classes, cosine, tables, probes))
     roots = components(found.select("node", "least"))
     more = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.join(more, "node", "left").join(roots, "node", "left")
-    named = named.select("embedding", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
+    named = cut(named.select("embedding", "first", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")))
+    least = named.groupBy("root").agg(F.min("first").alias("least"))
+    named = named.join(least, "root").select("embedding", "n_links", F.col("least").alias("root"))
     out = rows.join(named, "embedding", "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("root", "vec_id"))
     n = F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long")

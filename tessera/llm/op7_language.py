@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import ship, slices, table, texts_of
+from .common import ship, slices, table, texts_of, without
 
 DIMENSIONS, N, ALPHABET, SEED = 2048, 3, 64, 11
 UNKNOWN = "und"
@@ -131,8 +131,9 @@ def classify(texts: list[str | None], model, n: int = N, dimensions: int = DIMEN
 
 
 def predict(docs: DataFrame, model) -> DataFrame:
-    """All columns, with lang_pred and score."""
+    """All columns, with lang_pred and score (which replace input columns of these names)."""
     ship(docs.sparkSession)
+    docs = without(docs, ("lang_pred", "score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ALPHABET**N n-grams
     schema = StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double")
     place = docs.columns.index("text")

@@ -1,12 +1,13 @@
 """Quality classification by co-training.
 
 Two views of a document are classified apart: its text (shares of capitals, symbols, repeats and the like) and its metadata (source, language,
-length). In each round either view labels the rows of an unlabelled pool that it is surest of, for the other view to learn from. At last each view is
-calibrated, and the two are combined, on labelled rows that neither learned from; every document is scored.
+length). In each round both views score every unlabelled document, and each hands the NEW it is surest of to the other to learn from. At last each view
+is calibrated, and the two are combined, on labelled rows that neither learned from; every document is scored.
 
-Fitting uses bounded samples: at most SAMPLE labelled rows and POOL others, those with the lowest hash of their doc_id. Conflicting labels of one
-doc_id count by their mean; null labels are ignored. A null or empty text has zero text features; null metadata is a value of its own. Repeated rows
-are scored alike; a null doc_id is kept. Without labels of both classes every score is 0.5 and every document is kept.
+Fitting uses at most SAMPLE labelled rows, those with the lowest hash of their doc_id. Conflicting labels of one doc_id count by their mean; null labels
+are ignored; of rows that share a labelled doc_id the one with the least hash teaches. Equal unlabelled rows teach as one may. A null or empty text has
+zero text features; null metadata is a value of its own. Repeated rows are scored alike; a null doc_id is scored but teaches nothing. Without labels of
+both classes every score is 0.5 and every document is kept. Input columns named like a result column are replaced by it.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import ship, slices, table, texts_of
+from .common import cut, drop, ship, slices, table, texts_of, without
 from .words import hashes, joined, runs
 
-SAMPLE, POOL, ROUNDS, SHARE, KEEP = 12_000, 12_000, 4, 0.1, 0.5
+SAMPLE, NEW, ROUNDS, KEEP = 12_000, 1200, 4, 0.5
+#: Least logit, either way, of what a view hands on.
+SURE = 2.2
 #: Hashed columns for source and for language.
 SOURCES, LANGS = 64, 16
 
@@ -102,36 +105,32 @@ class Logistic:
         return np.clip(self._with_one(x) @ self.w, -30, 30)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS, share: float = SHARE):
-    """The two views, their calibrations and the combination; y is 0, 1 or between. A quarter of the labelled rows is kept for calibration."""
-    hold = np.arange(len(y)) % 4 == 3
-    views, pools = [text, meta], [pool_text, pool_meta]
-    x, t = [v[~hold] for v in views], [y[~hold]] * 2
-    free = np.ones(len(pool_text), bool)
-    for r in range(rounds + 1):
-        models = [Logistic(a, b) for a, b in zip(x, t)]
-        if r == rounds or not free.any():
-            break
-        for k in (0, 1):
-            at = np.flatnonzero(free)
-            z = models[k].logit(pools[k][at])
-            # as many of each label as their share among the labelled rows, and only what the view is sure of
-            n = int(share * len(pool_text)) + 1
-            base = float(np.clip(y.mean(), 0.02, 0.98))
-            order = np.argsort(z, kind="stable")
-            low, high = order[: int(n * (1 - base)) + 1], order[::-1][: int(n * base) + 1]
-            low, high = low[z[low] < -2.2], high[z[high] > 2.2]
-            new = np.append(at[low], at[high])
-            if not len(new):
-                continue
-            other = 1 - k
-            x[other] = np.concatenate([x[other], pools[other][new]])
-            t[other] = np.concatenate([t[other], np.append(np.zeros(len(low)), np.ones(len(high)))])
-            free[new] = False
-    z = np.stack([m.logit(v[hold]) for m, v in zip(models, views)], 1)
-    calibration = [Logistic(z[:, k : k + 1], y[hold]) for k in (0, 1)]
-    both = np.stack([c.logit(z[:, k : k + 1]) for k, c in enumerate(calibration)], 1)
-    return models, calibration, Logistic(both, y[hold])
+class CoTraining:
+    """Two views that teach each other. Of the labelled rows, two of four teach from the start, one calibrates the views, one their combination."""
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray):
+        self.views, self.y, part = [text, meta], y, np.arange(len(y)) % 4
+        self.calibrate, self.combine = part == 2, part == 3
+        self.x, self.t = [v[part < 2] for v in self.views], [y[part < 2]] * 2
+        self.base = float(np.clip(y.mean(), 0.02, 0.98))
+        self.models = [Logistic(a, b) for a, b in zip(self.x, self.t)]
+
+    def teach(self, k: int, text: np.ndarray, meta: np.ndarray, y: np.ndarray) -> None:
+        """Rows that view k has labelled join the other view's."""
+        other = 1 - k
+        self.x[other] = np.concatenate([self.x[other], (text, meta)[other]])
+        self.t[other] = np.concatenate([self.t[other], y])
+
+    def refit(self) -> None:
+        self.models = [Logistic(a, b) for a, b in zip(self.x, self.t)]
+
+    def finished(self):
+        """The two views, their calibrations and the combination."""
+        logits = lambda rows: np.stack([m.logit(v[rows]) for m, v in zip(self.models, self.views)], 1)
+        z = logits(self.calibrate)
+        calibration = [Logistic(z[:, k : k + 1], self.y[self.calibrate]) for k in (0, 1)]
+        z = logits(self.combine)
+        return self.models, calibration, Logistic(np.stack([c.logit(z[:, k : k + 1]) for k, c in enumerate(calibration)], 1), self.y[self.combine])
 
 
 def score(model, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
@@ -144,39 +143,81 @@ def score(model, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-z))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL):
-    """The model from bounded samples of labelled and of other documents; None without both classes."""
-    ship(docs.sparkSession)
-    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("quality"))
-    order = F.xxhash64("doc_id")
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    some = known.join(ids, "doc_id", "left_semi").orderBy(order, "doc_id").limit(sample)
-    rest = ids.join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(pool).withColumn("quality", F.lit(None).cast("double"))
-    wanted = docs.sparkSession.createDataFrame(some.unionByName(rest).toPandas(), "doc_id long, quality double")  # at most sample + pool rows
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "n_chars", "text").join(F.broadcast(wanted), "doc_id")
+def features(docs: DataFrame) -> DataFrame:
+    """doc_id, a hash of the row, its text features, and the columns of its metadata view; rows without a doc_id are left out."""
+    kinds = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("n_chars", pa.int64()), ("t", pa.list_(pa.float32()))])
 
     def run(batches):
         for batch in batches:
-            texts = texts_of(batch.column(4))
-            meta = meta_features(*(batch.column(i).to_pylist() for i in (1, 2, 3)))
+            texts = texts_of(batch.column(5))
             for a, b in slices(texts):
-                text = text_features(texts[a:b])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(5).slice(a, b - a), pa.array(list(text)), pa.array(list(meta[a:b]))], names=["doc_id", "quality", "t", "m"])
-
-    rows = picked.mapInArrow(run, "doc_id long, quality double, t array<double>, m array<double>").dropDuplicates(["doc_id"]).toPandas()
-    rows = rows.iloc[np.argsort([zlib.crc32(str(i).encode()) for i in rows["doc_id"]], kind="stable")]
-    lab = rows["quality"].notna().to_numpy()
-    y = rows["quality"].to_numpy()[lab]
-    if not len(y) or (y >= 0.5).all() or (y < 0.5).all() or len(y) < 8:
+                x = text_features(texts[a:b]).astype(np.float32)
+                t = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(5)), t], schema=kinds)
+
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text", "source", "lang", "n_chars"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"), "text")
+    return rows.toDF("doc_id", "h", "source", "lang", "n_chars", "text").mapInArrow(run, "doc_id long, h long, source string, lang string, n_chars long, t array<float>")
+
+
+def arrays(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The two views of rows of features()."""
+    text = rows["t"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows.num_rows, -1)
+    return text, meta_features(*(rows[c].to_pylist() for c in ("source", "lang", "n_chars")))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, new: int = NEW):
+    """The model; None without at least 8 labelled rows of both classes."""
+    spark = docs.sparkSession
+    ship(spark)
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("quality"))
+    rows = cut(features(docs).join(known, "doc_id", "left"))
+    # of rows that share a labelled doc_id, the one with the least hash
+    one = rows.where("quality is not null").groupBy("doc_id", "quality").agg(F.min_by(F.struct("source", "lang", "n_chars", "t", "h"), "h").alias("r")).select("doc_id", "quality", "r.*")
+    some = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toArrow()  # at most `sample` rows
+    y = some["quality"].to_numpy().astype(float)
+    if len(y) < 8 or (y >= 0.5).all() or (y < 0.5).all():
         return None
-    t, m = np.stack(rows["t"].to_numpy()), np.stack(rows["m"].to_numpy())
-    return co_train(t[lab], m[lab], y, t[~lab], m[~lab])
+    co, taken = CoTraining(*arrays(some), y), []
+    fields = ["doc_id", "h", "source", "lang", "n_chars", "t"]
+    rest = rows.where("quality is null").select(*fields)
+    # as many of each label as their share among the labelled rows
+    each = (int(new * (1 - co.base)) + 1, int(new * co.base) + 1)
+    for _ in range(rounds):
+        models, used = co.models, np.sort(np.array(taken, np.int64))
+
+        def run(batches, models=models, used=used):
+            for batch in batches:
+                if batch.num_rows:
+                    views = arrays(pa.Table.from_batches([batch]))
+                    z = [pa.array(m.logit(v)) for m, v in zip(models, views)]
+                    free = ~np.isin(batch.column(1).to_numpy(), used)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, *z], names=[*batch.schema.names, "z0", "z1"]).filter(pa.array(free))
+
+        # every unlabelled document is scored in every round; each view hands on those it is surest of
+        scored = cut(rest.mapInArrow(run, "doc_id long, h long, source string, lang string, n_chars long, t array<float>, z0 double, z1 double"))
+        found = 0
+        for k in (0, 1):
+            z = F.col(f"z{k}")
+            low = scored.where(z < -SURE).orderBy(z, "h").limit(each[0]).toArrow()  # at most NEW rows a view and round
+            high = scored.where(z > SURE).orderBy(z.desc(), "h").limit(each[1]).toArrow()
+            both = pa.concat_tables([low, high])
+            if both.num_rows:
+                co.teach(k, *arrays(both), np.append(np.zeros(low.num_rows), np.ones(high.num_rows)))
+                taken += both["h"].to_pylist()
+                found += both.num_rows
+        drop(scored)
+        if not found:
+            break
+        co.refit()
+    drop(rows)
+    return co.finished()
 
 
 def score_documents(docs: DataFrame, model) -> DataFrame:
-    """All columns, with text_score, meta_score and quality_score (probability of good quality)."""
+    """All columns, with text_score, meta_score and quality_score (probability of good quality), which replace input columns of these names."""
     ship(docs.sparkSession)
     names = ["text_score", "meta_score", "quality_score"]
+    docs = without(docs, names)
     schema = StructType([*docs.schema.fields])
     for c in names:
         schema = schema.add(c, "double")
