@@ -5,7 +5,7 @@ probabilistic automata are inferred: states of a prefix tree are merged where ne
 Every candidate of every text, base values and all other runs of TOKEN or more token characters, is then scored: its log-likelihood under the likeliest
 credential automaton less that under the automaton of ordinary tokens, for each character. Runs above a threshold are added as spans of kind `model`;
 base spans always stay. The threshold keeps all but MISSED of the credentials held out; it is raised, to at most their median, until no more than PASSED
-of the ordinary tokens held out exceed it.
+of the ordinary tokens held out exceed it by mistake (see threshold()).
 
 The samples are the values with the lowest hashes of the whole corpus, so they don't depend on how rows are dealt. Null and empty texts have no spans:
 counts zero, base_sha256 of the empty string, spans empty, score zero. Repeated rows give repeated results; a null doc_id is kept. With fewer than
@@ -33,6 +33,8 @@ EXAMPLES, ORDINARY, TOKEN, ALPHA = 1000, 4000, 8, 0.05
 OWN, FEWEST = 20, 8
 #: Shares of the held-out credentials below the threshold, and of held-out ordinary tokens above it.
 MISSED, PASSED = 0.1, 0.002
+#: Share of ordinary tokens, at most, that are left out of their automaton because they are as likely as credentials.
+SUSPECT = 0.1
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -213,13 +215,35 @@ def train(credentials: dict[int, list[str]], ordinary: list[str]) -> Model | Non
             pooled += own
     if pooled:
         groups.append(pooled)
-    model = Model([Automaton(sorted(g)) for g in groups], Automaton(sorted(learn(ordinary))))
-    pos = np.array([model.score(s) for v in credentials.values() for s in (held(v) or learn(v))])
+    good = [Automaton(sorted(g)) for g in groups]
+    known = [s for v in credentials.values() for s in (held(v) or learn(v))]
+    # ordinary tokens as likely as credentials may be credentials nobody labelled: where they are few, ordinary tokens are learned without them
+    fit = lambda s: max(a.log_likelihood(s) for a in good) / (len(s) + 1)
+    least = np.quantile([fit(s) for s in known], MISSED / 2)
+    plain = [s for s in learn(ordinary) if fit(s) < least]
+    if len(plain) < (1 - SUSPECT) * len(learn(ordinary)):
+        plain = learn(ordinary)
+    model = Model(good, Automaton(sorted(plain)))
+    pos = np.array([model.score(s) for s in known])
     neg = np.array([model.score(s) for s in held(ordinary) or learn(ordinary)])
-    model.least = max(0.0, float(np.quantile(pos, MISSED)), min(float(np.quantile(neg, 1 - PASSED)), float(np.median(pos))))
+    model.least = max(0.0, threshold(pos, neg))
     return model
 
 
+def threshold(pos: np.ndarray, neg: np.ndarray) -> float:
+    """The least score, between the quantile MISSED of held-out credentials and their median, that no more than PASSED of the ordinary tokens exceed by
+    mistake. Ordinary tokens may hold credentials nobody labelled: as many as lie above the median lie below it, spread as the labelled ones are, so only
+    tokens beyond these count as mistakes."""
+    median = float(np.median(pos))
+    above = int((neg >= median).sum())
+    for q in np.linspace(MISSED, 0.5, 41):
+        least = float(np.quantile(pos, q))
+        mistakes = int(((neg >= least) & (neg < median)).sum()) - above * (0.5 - q) / 0.5
+        if mistakes <= PASSED * len(neg):
+            return least
+    return median
+
+
 def infer(docs: DataFrame, examples: int = EXAMPLES, ordinary: int = ORDINARY) -> Model | None:
     """The model learned from at most `examples` base values of each kind and `ordinary` other tokens: those with the lowest hashes."""
     ship(docs.sparkSession)
