@@ -57,7 +57,7 @@ def one_row_per_id(docs: DataFrame) -> DataFrame:
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data; n_chars follows the text."""
-    out = pii.with_surrogates(docs.select(*COLUMNS))
+    out = pii.with_surrogates(docs.select(*COLUMNS), pii.session_key(spark))
     changed = F.size("entity_kinds") > 0
     return out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
