@@ -1,4 +1,7 @@
-"""The registered queries over the driver's tables and their DuckDB equivalents.
+"""The registered queries over the driver's tables and over a fixture of institutions, and their DuckDB equivalents.
+
+The tables hold no institutions, so the rules of the institution vocabulary, scoring, decisions and reports run on tessera/fixtures.py, compared with
+the SQL of tessera/cascade_sql.py; full_cascade and the others run on whole tables.
 
 Master: part (name p_name, location p_brand, region p_type). Target: part rows with their names changed by p_partkey: upper case, words turned
 round, brand appended, initials, letters changed, another brand given.
@@ -9,19 +12,21 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import cascade_sql, fixtures
 from .functions import fuzzy
 from .functions import text as X
 from .operators import index as I
 from .operators import locations as L
 from .operators import report as R
 from .operators import scoring as S
-from .operators.rules import PLAIN
+from .operators.rules import INSTITUTIONS, PLAIN
 from .plans import cascade as C
 from .sources import tables as T
 
-RULES = replace(PLAIN, aliases={"brand 1": "brand 2", "brand 3": "brand 4"}, verified={"rs": 11, "red bolt brand 7": 5}, verified_review={"hg": 3}, verified_absent=("bb", "hot ring"), supplement=((900000001, "odd cog", "Brand#99", "EXTRA", "OC", ""), (7, "never added", "", "", "", "")), domains=("ring", "bolt", "widget", "gear"), domain_groups={"ring": "round", "gear": "round"}, delivery=("hot", "red"))
+RULES = replace(PLAIN, aliases={"brand 1": "brand 2", "brand 3": "brand 4"}, verified={"rs": 11, "red bolt brand 7": 5, "small gizmo": 4, "gear hot": 3}, verified_review={"hg": 3}, verified_absent=("bb", "hot ring"), supplement=((900000001, "odd cog", "Brand#99", "EXTRA", "OC", ""), (7, "never added", "", "", "", "")), domains=("ring", "bolt", "widget", "gear"), domain_groups={"ring": "round", "gear": "round"}, delivery=("hot", "red"))
 
 TARGET = """SELECT p_partkey AS row_id, CASE p_partkey % 6 WHEN 0 THEN upper(p_name) WHEN 1 THEN split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1)
  WHEN 2 THEN p_name || ' ' || p_brand WHEN 3 THEN substr(p_name, 1, 1) || substr(split_part(p_name, ' ', 2), 1, 1) WHEN 4 THEN replace(p_name, 'e', 'x') ELSE p_name END AS name,
@@ -56,15 +61,23 @@ def _joined(c):
     return F.array_join(F.array_sort(c), " ")
 
 
-#: Indexes by application and folder: queries over the same master share one.
-_INDEXES: dict[tuple[str, str], I.Index] = {}
+#: Indexes by application, folder and state of the master file: queries over the same master share one. Only the newest of a folder is held.
+_INDEXES: dict[tuple[str, str], tuple[str, I.Index]] = {}
+
+
+def _state(spark, path) -> str:
+    """When and how large the file or folder was written last."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    return " ".join(sorted(f"{f.getPath()}:{f.getModificationTime()}:{f.getLen()}" for f in found))
 
 
 def _index(spark, d):
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _INDEXES:
-        _INDEXES[key] = I.build(_master(spark, d), RULES, unicode=False)
-    return _INDEXES[key]
+    key, state = (spark.sparkContext.applicationId, d), _state(spark, f"{d.rstrip('/')}/part.parquet")
+    if _INDEXES.get(key, ("",))[0] != state:
+        _INDEXES[key] = state, I.build(_master(spark, d), RULES, unicode=False)
+    return _INDEXES[key][1]
 
 
 def _names(spark, d):
@@ -166,7 +179,7 @@ def detect_location(spark, d):
 
 def location_conflict(spark, d):
     """How many same-named parts lie elsewhere than the input says."""
-    t = _target(spark, d).select("row_id", _n("name").alias("clean"), X.canonical(_n("city"), RULES).alias("loc")).where("row_id % 6 in (0, 5)")
+    t = _target(spark, d).select("row_id", _n("name").alias("clean"), X.canonical(_n("city"), RULES).alias("loc"))
     names = t.select("clean", "loc").distinct()
     dim = _index(spark, d).dim
     pairs = names.join(dim.select("clean_name", "cities", "unique_keys", "city_keys"), F.col("clean") == F.col("clean_name")).withColumn("inits", X.initialisms(F.concat_ws(" ", "clean", "loc"), RULES))
@@ -187,7 +200,7 @@ def verified_absent(spark, d):
 def _ranked(spark, d):
     index = _index(spark, d)
     p = C.probes(_names(spark, d), index, RULES, unicode=False)
-    return C.candidates(p, index, RULES), p, index
+    return C.candidates(p, index, RULES).select("key", "master_id"), p, index
 
 
 def candidate_blocking(spark, d):
@@ -203,21 +216,6 @@ def token_coverage(spark, d):
     return pair.select("match_key", "clean", S._coverage(shared, F.col("mine")).alias("cov_in"), S._coverage(shared, F.col("theirs")).alias("cov_rec"))
 
 
-def _coverage_scores(spark, d):
-    return token_coverage(spark, d).select(F.col("match_key").alias("key"), F.col("clean").alias("master_id"), (60.0 * F.col("cov_in") + 40.0 * F.col("cov_rec")).alias("confidence"))
-
-
-def top_k_candidates(spark, d):
-    return C.rank(_coverage_scores(spark, d), 5).select("key", F.col("master_id").alias("name"), "rank", "confidence")
-
-
-def top_two_margin(spark, d):
-    from pyspark.sql import Window as W
-
-    r = C.rank(_coverage_scores(spark, d), 2).withColumn("margin", F.col("confidence") - F.lead("confidence", 1, 0.0).over(W.partitionBy("key").orderBy("rank")))
-    return r.where("rank = 1").select("key", F.col("master_id").alias("name"), "margin")
-
-
 def delivery_conflict(spark, d):
     b = _clean(spark, d).select("clean").distinct().withColumn("delivery", F.array_intersect(X.tokens(F.col("clean")), X.arr(RULES.delivery)))
     a = b.select(F.col("clean").alias("bare"))
@@ -235,46 +233,195 @@ def domain_conflict(spark, d):
 def segment_parents(spark, d):
     """Parts named by one of two comma-separated segments."""
     index = _index(spark, d)
-    t = _target(spark, d).where("row_id % 6 = 5").select(F.concat_ws(", ", F.lit("Unit X"), "name", "city").alias("name"), "row_id")
+    t = _target(spark, d).select(F.concat_ws(", ", F.lit("Unit X"), "name", "city").alias("name"), "row_id")
     seg = t.select("row_id", F.explode(F.split("name", ",")).alias("s")).select("row_id", _n("s").alias("key"))
     return seg.join(index.variants, "key").groupBy("row_id").agg(F.count_distinct("master_id").alias("n"), F.min("master_id").alias("first_id"))
 
 
-def _decisions(spark, d):
-    """Decisions by exact name and location alone."""
-    rows = _keyed(spark, d).withColumn("_row_id", F.col("row_id"))
-    inputs = C.distinct_inputs(rows).withColumns({"clean": _n("name"), "loc": X.canonical(_n("city"), RULES)})
-    m = _master(spark, d).select("master_id", F.col("name").alias("matched_name"), _n("name").alias("clean"), X.canonical(_n("city"), RULES).alias("loc"))
-    m = m.groupBy("clean", "loc").agg(F.count("*").alias("n"), F.min("master_id").alias("first_id"), F.min("matched_name").alias("matched_name"))
-    j = inputs.join(m, ["clean", "loc"], "left").withColumn("decision", F.when(F.col("n") == 1, "FOUND").when(F.col("n") > 1, "NEEDS_REVIEW").otherwise("NOT_FOUND"))
-    hit = F.col("decision") != "NOT_FOUND"
-    return rows, j.select("match_key", F.col("name").alias("input_name"), "decision", F.when(hit, F.col("first_id")).alias("master_id"), F.when(hit, F.col("matched_name")).alias("matched_name"), F.when(F.col("n") == 1, 100.0).when(F.col("n") > 1, F.greatest(F.lit(50.0), 100.0 - 5.0 * F.col("n"))).otherwise(0.0).alias("confidence"), F.lit("Exact name and location").alias("reason"))
+class _Fixture:
+    """The fixture's index, inputs and decisions, built once in a session."""
+
+    held: dict[str, "_Fixture"] = {}
+
+    def __init__(self, spark: SparkSession):
+        self.master = spark.createDataFrame(fixtures.master_rows(), fixtures.MASTER_SCHEMA)
+        self.target = spark.createDataFrame(fixtures.target_rows(), fixtures.TARGET_SCHEMA)
+        self.index = I.build(self.master, INSTITUTIONS)
+        self.rows = C.with_keys(self.target, "name", "city", "state").withColumn("_row_id", F.col("row_id"))
+        self.inputs = L.cut(C.distinct_inputs(self.rows))
+        self.probes = L.cut(C.probes(self.inputs, self.index, INSTITUTIONS, True).withColumn("print", X.fingerprint(F.col("identity"))))
+        self.decisions = L.cut(C.match(self.master, self.inputs, INSTITUTIONS, scorer="indel", index=self.index))
+        names = {"name": "r_name", "city": "r_city", "state": "r_state"}
+        self.dim = self.index.dim.select(*[F.col(c).alias(names.get(c, c)) for c in self.index.dim.columns])
+
+    @classmethod
+    def of(cls, spark: SparkSession) -> "_Fixture":
+        key = spark.sparkContext.applicationId
+        if key not in cls.held:
+            cls.held[key] = cls(spark)
+        return cls.held[key]
+
+    def early(self) -> DataFrame:
+        """Keys that a rule before ranking decides."""
+        ranked = F.col("reason").rlike("^(No |Name similarity|Explicit parent institution$|Ambiguous)")
+        return self.decisions.where(~ranked).select(F.col("match_key").alias("key"))
+
+    def pairs(self, keys: DataFrame | None = None) -> DataFrame:
+        """Inputs (of some keys) joined with their candidates."""
+        p = self.probes if keys is None else self.probes.join(keys, "key", "left_semi")
+        return C.ranking_pool(p, self.index, INSTITUTIONS, "indel").join(p, "key").join(self.dim, "master_id")
+
+    def scores(self) -> DataFrame:
+        return S.scored(self.pairs(self.probes.join(self.early(), "key", "left_anti").select("key")), INSTITUTIONS, "indel")
+
+
+def master_records(spark, d):
+    """Every derived field of the fixture's records."""
+    lists = ("short_acronyms", "acronym_keys", "abbreviations", "ident_base", "ident_short", "cities", "name_tokens", "domain", "delivery", "families", "unique_keys", "city_keys")
+    r = _Fixture.of(spark).dim
+    return r.select("master_id", "r_name", "clean_name", "base_name", "clean_short", "raw_city", "clean_city", "match_name", "match_base", "match_short", *[_joined(c).alias(c) for c in lists])
+
+
+def master_postings(spark, d):
+    """How many records each key of each posting table has, and the first of them."""
+    ix = _Fixture.of(spark).index
+    every = None
+    for kind in ("variants", "fingerprints", "tokens", "acronyms", "locations"):
+        own = _counts(getattr(ix, kind)).select(F.lit(kind).alias("kind"), "key", "n", "first_id")
+        every = own if every is None else every.union(own)
+    return every
+
+
+def input_identities(spark, d):
+    """The institution that each label names, its context with the city, and what is ranked, with and without its location."""
+    return _Fixture.of(spark).probes.select(F.col("key").alias("match_key"), "clean", "raw_id", "identity", "context", "loc", "p_input", "p_loc", "p_bare")
+
+
+def input_evidence(spark, d):
+    """Acronyms, words, domains and course concepts of each input."""
+    p = _Fixture.of(spark).probes.withColumn("intents", X.intents(F.col("clean")))
+    return p.select(F.col("key").alias("match_key"), *[_joined(a).alias(b) for a, b in (("ctx_inits", "ctx_inits"), ("p_inits", "p_inits"), ("p_all_inits", "all_inits"), ("p_tokens", "mine"), ("p_domain", "p_domain"), ("intents", "asks"))])
+
+
+def fixture_exact_tiers(spark, d):
+    """Records of the first exact tier that has any, and whether their location conflicts."""
+    fx = _Fixture.of(spark)
+    return C._unconflicted(C.exact_hits(fx.probes, fx.index), fx.probes, fx.dim).select(F.col("key").alias("match_key"), "master_id", "conflict")
+
+
+def brand_parents(spark, d):
+    fx = _Fixture.of(spark)
+    return C._brand(fx.probes, fx.index, fx.dim, INSTITUTIONS.brands[0]).withColumnRenamed("key", "match_key")
+
+
+def national_systems(spark, d):
+    fx = _Fixture.of(spark)
+    return C._systems(fx.probes, fx.index, fx.dim, INSTITUTIONS).withColumnRenamed("key", "match_key")
+
+
+def label_segments(spark, d):
+    """The one record that the parts of a label name."""
+    fx = _Fixture.of(spark)
+    return C._segments(fx.probes, fx.index, fx.dim, INSTITUTIONS).withColumnRenamed("key", "match_key")
+
+
+def parent_scores(spark, d):
+    return S.features(_Fixture.of(spark).pairs(), INSTITUTIONS).where("parent is not null").select(F.col("key").alias("match_key"), "master_id", F.col("parent").alias("parent_score"))
+
+
+def pair_evidence(spark, d):
+    """Gates, coverages and acronym evidence of every pair that shares a word or an acronym."""
+    f = S.features(_Fixture.of(spark).pairs().where("not only_parent"), INSTITUTIONS).where((F.size("shared") > 0) | (F.size("shared_acr") > 0))
+    return f.select(F.col("key").alias("match_key"), "master_id", "cov_in", "cov_rec", "overlap", _joined("trusted").alias("trusted"), "two_letter", "reliable", "literal_id", "away", "unique_acr", "same_city", S.delivery_conflict(F.col("p_bare")).alias("delivery_conflict"), S.domain_conflict(F.col("p_domain")).alias("domain_conflict"))
+
+
+def pair_scores(spark, d):
+    """The scores above zero of all inputs that no earlier rule decided."""
+    return _Fixture.of(spark).scores().select(F.col("key").alias("match_key"), "master_id", F.round("confidence", 6).alias("confidence"), F.round("overlap", 6).alias("token_overlap"), "reason")
+
+
+def fixture_fallback(spark, d):
+    """For inputs without any candidate by words, acronyms or parents: the nearest variants."""
+    fx = _Fixture.of(spark)
+    rest = fx.probes.join(fx.early(), "key", "left_anti")
+    pool = C.candidates(rest, fx.index, INSTITUTIONS).where("not only_local").select("key").distinct()
+    return C.fallback(rest.where("p_input <> ''").join(pool, "key", "left_anti"), fx.index, "indel").select(F.col("key").alias("match_key"), "variant", "rank", F.round("confidence", 6).alias("r"))
+
+
+def top_k_candidates(spark, d):
+    """Up to five candidates of each ranked input."""
+    c = _Fixture.of(spark).decisions.select("match_key", F.explode("candidates").alias("c")).select("match_key", "c.*")
+    return c.select("match_key", "master_id", "rank", F.round("confidence", 6).alias("confidence"), F.round("token_overlap", 6).alias("token_overlap"), "reason")
+
+
+def top_two_margin(spark, d):
+    """How far the best candidate of each ranked input leads."""
+    c = F.transform("candidates", lambda x: x["confidence"])
+    best = F.get("candidates", F.lit(0))
+    return _Fixture.of(spark).decisions.where(F.size("candidates") > 0).select("match_key", best["master_id"].alias("master_id"), F.round(F.get(c, F.lit(0)) - F.coalesce(F.get(c, F.lit(1)), F.lit(0.0)), 6).alias("margin"))
+
+
+def candidate_labels(spark, d):
+    """How the candidates are shown to a reviewer."""
+    c = _Fixture.of(spark).decisions.select("match_key", F.explode("candidates").alias("c")).select("match_key", "c.*")
+    return c.select("match_key", "master_id", R.label(c).alias("label"))
+
+
+def cascade_decisions(spark, d):
+    """The decision on every distinct input of the fixture, by the whole cascade."""
+    return _Fixture.of(spark).decisions.drop("candidates")
+
+
+def _decided(spark):
+    fx = _Fixture.of(spark)
+    return fx.rows, fx.decisions
 
 
 def decision_counts(spark, d):
-    return R.decision_counts(_decisions(spark, d)[1])
+    return R.decision_counts(_decided(spark)[1])
+
+
+def row_decision_counts(spark, d):
+    """Rows by decision, and what share of all rows that is."""
+    n = R.row_decisions(*_decided(spark)).groupBy("decision").agg(F.count("*").alias("n"))
+    return n.select("decision", "n", F.round(R.safe_ratio(F.col("n"), F.sum("n").over(W.partitionBy(F.lit(1)))), 6).alias("share"))
+
+
+def table_sizes(spark, d):
+    """Records, rows and distinct inputs."""
+    fx = _Fixture.of(spark)
+    sizes = [df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n") for what, df in (("master", fx.master), ("target", fx.target), ("distinct", fx.inputs))]
+    return sizes[0].union(sizes[1]).union(sizes[2])
 
 
 def row_decisions(spark, d):
-    return R.row_decisions(*_decisions(spark, d)).select("row_id", "decision")
+    return R.row_decisions(*_decided(spark)).select("row_id", "decision")
 
 
 def confidence_buckets(spark, d):
-    return R.confidence_buckets(_decisions(spark, d)[1])
+    return R.confidence_buckets(_decided(spark)[1])
 
 
 def row_audit(spark, d):
-    return R.row_audit(*_decisions(spark, d)).select("row_id", "name", "city", "state", "decision", "master_id", "matched_name", "confidence", "reason")
+    return R.row_audit(*_decided(spark)).select("row_id", "name", "city", "state", "decision", "master_id", "matched_name", "confidence", "reason")
 
 
 def write_back(spark, d):
-    rows, decisions = _decisions(spark, d)
-    out = R.write_back(rows.drop("_row_id").withColumn("ID", F.lit("")), decisions, "ID")
-    return out.withColumnsRenamed({"ID": "id", "Match Status": "match_status", "Confidence Score": "confidence_score"})
+    """The target with its note column as the id column: rows with a decision lose what stood there."""
+    rows, decisions = _decided(spark)
+    out = R.write_back(rows, decisions.where("decision <> 'NOT_FOUND' or reason like 'Verified%'"), "note", name_column="name").drop("_row_id")
+    return out.withColumnsRenamed({"Match Status": "match_status", "Confidence Score": "confidence_score"})
 
 
 def review_queue(spark, d):
-    return R.review_queue(_decisions(spark, d)[1]).toDF("input_name", "master_id", "matched_name", "confidence", "reason")
+    return R.review_queue(_decided(spark)[1]).toDF("input_name", "master_id", "matched_name", "confidence", "reason")
+
+
+def reviewed_decisions(spark, d):
+    """Decisions after reviewers confirmed one suggestion in two and refused the others."""
+    decisions = _decided(spark)[1]
+    reviews = decisions.where("decision = 'NEEDS_REVIEW'").select("match_key", F.when(F.col("master_id") % 2 == 0, F.col("master_id")).alias("master_id"))
+    return R.apply_reviews(decisions, reviews).select("match_key", "decision", "master_id")
 
 
 def lexical_score(spark, d):
@@ -285,22 +432,21 @@ def lexical_score(spark, d):
 def fuzzy_fallback(spark, d):
     """For names without any candidate: variants that share a word, by ratio, the best 100 from 25 up."""
     pool, p, index = _ranked(spark, d)
-    lone = p.join(pool.select("key").distinct(), "key", "left_anti").select("key", "p_input", F.explode(X.tokens(F.col("p_input"))).alias("k"))
-    words = index.variants.select(F.col("key").alias("variant")).distinct().select("variant", F.explode(X.tokens(F.col("variant"))).alias("k"))
-    pairs = lone.join(words, "k").select("key", "p_input", "variant").distinct()
-    return C.rank(pairs.withColumn("confidence", fuzzy.ratio(F.col("p_input"), F.col("variant"))).where("confidence >= 25").withColumnRenamed("variant", "master_id"), 100).select("key", F.col("master_id").alias("variant"), "rank")
+    return C.fallback(p.join(pool.select("key").distinct(), "key", "left_anti"), index).select("key", "variant", "rank")
 
 
 def full_cascade(spark, d):
     rows = _keyed(spark, d)
     inputs = rows.groupBy("match_key").agg(F.min_by(F.struct("name", "city", "state"), "row_id").alias("r")).select("match_key", "r.*")
-    return C.match(_master(spark, d), inputs, RULES, unicode=False).drop("candidates")
+    return C.match(_master(spark, d), inputs, RULES, unicode=False, index=_index(spark, d)).drop("candidates")
 
 
 QUERIES = {f.__name__: f for f in (
     unique_exact, normalize_names, match_keys, token_sets, identity_fingerprint, derived_acronyms, canonical_location, domain_groups, header_resolution, distinct_inputs_first, supplement_master, last_record_wins,
-    posting_tokens, posting_acronyms, posting_locations, variant_index, exact_tiers, detect_location, location_conflict, verified_overrides, verified_absent, candidate_blocking, token_coverage, top_k_candidates,
-    top_two_margin, delivery_conflict, domain_conflict, segment_parents, decision_counts, row_decisions, confidence_buckets, row_audit, write_back, review_queue, lexical_score, fuzzy_fallback, full_cascade,
+    posting_tokens, posting_acronyms, posting_locations, variant_index, exact_tiers, detect_location, location_conflict, verified_overrides, verified_absent, candidate_blocking, token_coverage, delivery_conflict,
+    domain_conflict, segment_parents, lexical_score, fuzzy_fallback, full_cascade, master_records, master_postings, input_identities, input_evidence, fixture_exact_tiers, brand_parents, national_systems, label_segments,
+    parent_scores, pair_evidence, pair_scores, fixture_fallback, top_k_candidates, top_two_margin, candidate_labels, cascade_decisions, decision_counts, row_decision_counts, table_sizes, row_decisions, confidence_buckets,
+    row_audit, write_back, review_queue, reviewed_decisions,
 )}
 
 
@@ -326,14 +472,9 @@ _M = f"""m AS (SELECT p_partkey AS master_id, p_name AS name, p_brand AS city, '
 _NAMES = f"names AS (SELECT DISTINCT {_sql_n('name')} AS clean, {_sql_n('name')} || '||||' AS match_key FROM target)"
 _HITS = """h0 AS (SELECT match_key AS key, master_id, 0 AS tier FROM names JOIN v ON v.key = names.clean UNION SELECT match_key, master_id, 2 FROM names JOIN fp ON fp.key = array_to_string(list_sort(string_split(names.clean, ' ')), ' ')),
  hits AS (SELECT key, master_id FROM h0 QUALIFY tier = min(tier) OVER (PARTITION BY key))"""
-_D = f"""mm AS (SELECT {_sql_n('p_name')} AS clean, {_sql_canon(_sql_n('p_brand'))} AS loc, count(*) AS n, min(p_partkey) AS first_id, min(p_name) AS mname FROM part GROUP BY 1, 2),
- inputs AS (SELECT match_key, arg_min(name, row_id) AS input_name, any_value(clean) AS clean, any_value(loc) AS loc FROM keyed GROUP BY 1),
- decisions AS (SELECT match_key, input_name, CASE WHEN n = 1 THEN 'FOUND' WHEN n > 1 THEN 'NEEDS_REVIEW' ELSE 'NOT_FOUND' END AS decision, first_id AS master_id, mname AS matched_name,
- CASE WHEN n = 1 THEN 100.0 WHEN n > 1 THEN greatest(50.0, 100.0 - 5.0 * n) ELSE 0.0 END::DOUBLE AS confidence, 'Exact name and location' AS reason FROM inputs LEFT JOIN mm USING (clean, loc))"""
 _COV = f"""c AS (SELECT DISTINCT {_sql_n('p_name')} AS clean FROM part), a AS (SELECT match_key, list_distinct(list_filter({_sql_list('clean')}, lambda x: length(x) > 1)) AS mine FROM names),
  cov AS (SELECT match_key, clean, len(list_intersect(mine, theirs)) / len(mine)::DOUBLE AS cov_in, len(list_intersect(mine, theirs)) / len(theirs)::DOUBLE AS cov_rec
- FROM a, (SELECT clean, list_distinct({_sql_list('clean')}) AS theirs FROM c) WHERE len(list_intersect(mine, theirs)) > 0),
- s AS (SELECT match_key AS key, clean AS name, 60.0 * cov_in + 40.0 * cov_rec AS confidence, row_number() OVER (PARTITION BY match_key ORDER BY 60.0 * cov_in + 40.0 * cov_rec DESC, clean) AS rank FROM cov)"""
+ FROM a, (SELECT clean, list_distinct({_sql_list('clean')}) AS theirs FROM c) WHERE len(list_intersect(mine, theirs)) > 0)"""
 #: A record's words or short form among the words of a name, or its short form at the head of the name's initials.
 _POOL = f"""tok AS (SELECT DISTINCT unnest(list_concat({_sql_list('clean')}, CASE WHEN short = '' THEN [] ELSE [short] END)) AS k, master_id FROM e),
  w AS (SELECT match_key AS key, unnest(list_distinct({_sql_list('clean')})) AS k FROM names),
@@ -352,7 +493,8 @@ ORACLES = {
     "derived_acronyms": f"WITH w AS (SELECT p_partkey, {_sql_list(_sql_n(chr(39).join(['p_name || ', ' ', ' || p_brand'])))} AS ws FROM part), i AS (SELECT p_partkey, array_to_string(list_transform(ws, lambda x: substr(x, 1, 1)), '') AS s FROM w) SELECT p_partkey, array_to_string(list_sort(list_distinct(list_transform(range(2, length(s) + 1), lambda k: substr(s, 1, k::INT)))), ' ') AS acronyms FROM i",
     "canonical_location": f"SELECT p_partkey, {_sql_canon(_sql_n('p_brand'))} AS location FROM part",
     "domain_groups": f"SELECT p_partkey, array_to_string(list_sort({_DOM.format(_sql_n('p_name'))}), ' ') AS domains FROM part",
-    "header_resolution": "SELECT * FROM (VALUES ('P Name', 1), ('p-brand', 2), ('City', -1), ('P_TYPE', 3)) t(wanted, position)",
+    "header_resolution": """WITH c AS (SELECT row_number() OVER () - 1 AS i, regexp_replace(lower(column_name), '[^a-z0-9]', '', 'g') AS k FROM (DESCRIBE SELECT * FROM part)), w AS (SELECT unnest(['P Name', 'p-brand', 'City', 'P_TYPE']) AS wanted)
+ SELECT wanted, coalesce(min(i), -1)::INT AS position FROM w LEFT JOIN c ON k = regexp_replace(lower(wanted), '[^a-z0-9]', '', 'g') GROUP BY wanted""",
     "distinct_inputs_first": f"WITH {_T}, {_K} SELECT match_key, arg_min(name, row_id) AS name, arg_min(city, row_id) AS city, arg_min(state, row_id) AS state FROM keyed GROUP BY 1",
     "supplement_master": "SELECT p_partkey AS master_id, p_name AS name, p_brand AS city, p_type AS state FROM part UNION ALL SELECT 900000001, 'odd cog', 'Brand#99', 'EXTRA'",
     "last_record_wins": "SELECT p_partkey % 500 AS master_id, arg_max(p_name, p_partkey) AS name, arg_max(p_brand, p_partkey) AS city FROM part GROUP BY 1",
@@ -363,20 +505,55 @@ ORACLES = {
     "exact_tiers": f"WITH {_T}, {_NAMES}, {_M}, {_HITS} " + _COUNT.format("SELECT * FROM hits"),
     "unique_exact": f"WITH {_T}, {_NAMES}, {_M}, {_HITS} SELECT key, min(master_id) AS master_id FROM hits GROUP BY key HAVING count(DISTINCT master_id) = 1",
     "detect_location": f"WITH {_T}, t AS (SELECT row_id, {_sql_n('name')} AS text FROM target), p AS (SELECT DISTINCT {_sql_n('p_brand')} AS phrase FROM part UNION SELECT unnest(['brand 1', 'brand 2', 'brand 3', 'brand 4'])), hit AS (SELECT row_id, arg_max(phrase, length(phrase)) AS phrase FROM t JOIN p ON contains(' ' || text || ' ', ' ' || phrase || ' ') GROUP BY 1) SELECT row_id, coalesce({_sql_canon('phrase')}, '') AS location, coalesce(phrase, '') AS phrase FROM t LEFT JOIN hit USING (row_id)",
-    "location_conflict": f"WITH {_T}, {_K}, n AS (SELECT DISTINCT clean, loc FROM keyed WHERE row_id % 6 IN (0, 5)), mm AS (SELECT {_sql_n('p_name')} AS clean, {_sql_canon(_sql_n('p_brand'))} AS mloc FROM part) SELECT n.clean, n.loc, count(mloc) FILTER (mloc <> n.loc) AS n_away FROM n LEFT JOIN mm USING (clean) GROUP BY 1, 2",
+    "location_conflict": f"WITH {_T}, {_K}, n AS (SELECT DISTINCT clean, loc FROM keyed), mm AS (SELECT {_sql_n('p_name')} AS clean, {_sql_canon(_sql_n('p_brand'))} AS mloc FROM part) SELECT n.clean, n.loc, count(mloc) FILTER (mloc <> n.loc) AS n_away FROM n LEFT JOIN mm USING (clean) GROUP BY 1, 2",
     "candidate_blocking": f"WITH {_T}, {_NAMES}, {_M}, {_POOL} " + _COUNT.format("SELECT * FROM pool"),
-    "verified_overrides": f"WITH {_T}, {_NAMES} SELECT clean, master_id, p_name AS name FROM names JOIN (VALUES ('rs', 11), ('red bolt brand 7', 5)) a(k, master_id) ON k = clean JOIN part ON p_partkey = master_id",
+    "verified_overrides": f"WITH {_T}, {_NAMES} SELECT clean, master_id, p_name AS name FROM names JOIN (VALUES {', '.join(f"('{k}', {v})" for k, v in RULES.verified.items())}) a(k, master_id) ON k = clean JOIN part ON p_partkey = master_id",
     "verified_absent": f"WITH {_T}, {_NAMES} SELECT clean FROM names WHERE clean IN ('bb', 'hot ring')",
     "token_coverage": f"WITH {_T}, {_NAMES}, {_COV} SELECT match_key, clean, cov_in, cov_rec FROM cov",
-    "top_k_candidates": f"WITH {_T}, {_NAMES}, {_COV} SELECT key, name, rank::INT AS rank, confidence FROM s WHERE rank <= 5",
-    "top_two_margin": f"WITH {_T}, {_NAMES}, {_COV} SELECT a.key, a.name, a.confidence - coalesce(b.confidence, 0.0) AS margin FROM s a LEFT JOIN s b ON a.key = b.key AND b.rank = 2 WHERE a.rank = 1",
     "delivery_conflict": f"WITH c AS (SELECT DISTINCT {_sql_n('p_name')} AS clean FROM part) SELECT a.clean AS bare, b.clean, len({_DEL.format('b.clean')}) > 0 AND list_sort({_DEL.format('a.clean')}) <> list_sort({_DEL.format('b.clean')}) AS conflict FROM c a JOIN c b ON split_part(a.clean, ' ', 2) = split_part(b.clean, ' ', 2)",
     "domain_conflict": f"WITH c AS (SELECT DISTINCT {_sql_n('p_name')} AS clean FROM part) SELECT a.clean AS bare, b.clean, len({_DOM.format('a.clean')}) > 0 AND len({_DOM.format('b.clean')}) > 0 AND NOT list_has_any({_DOM.format('a.clean')}, {_DOM.format('b.clean')}) AS conflict FROM c a JOIN c b ON split_part(a.clean, ' ', 1) = split_part(b.clean, ' ', 1)",
-    "segment_parents": f"WITH {_T}, {_M}, seg AS (SELECT row_id, unnest([{_sql_n('name')}, {_sql_n('city')}]) AS key FROM target WHERE row_id % 6 = 5) SELECT row_id, count(DISTINCT master_id) AS n, min(master_id) AS first_id FROM seg JOIN v USING (key) GROUP BY 1",
-    "decision_counts": f"WITH {_T}, {_K}, {_D} SELECT decision, count(*) AS n FROM decisions GROUP BY 1",
-    "row_decisions": f"WITH {_T}, {_K}, {_D} SELECT row_id, decision FROM keyed JOIN decisions USING (match_key)",
-    "confidence_buckets": f"WITH {_T}, {_K}, {_D} SELECT count(*) FILTER (confidence >= 95) AS high, count(*) FILTER (confidence >= 80 AND confidence < 95) AS medium, count(*) FILTER (confidence < 80) AS low FROM decisions",
-    "row_audit": f"WITH {_T}, {_K}, {_D} SELECT row_id, name, city, state, decision, coalesce(CAST(master_id AS VARCHAR), 'Not Found') AS master_id, coalesce(matched_name, '') AS matched_name, confidence, reason FROM keyed JOIN decisions USING (match_key)",
-    "write_back": f"WITH {_T}, {_K}, {_D} SELECT row_id, name, city, state, coalesce(CAST(master_id AS VARCHAR), 'Not Found') AS id, CASE decision WHEN 'NOT_FOUND' THEN 'NOT FOUND' WHEN 'NEEDS_REVIEW' THEN 'NEEDS REVIEW' ELSE 'FOUND' END AS match_status, confidence AS confidence_score FROM keyed JOIN decisions USING (match_key)",
-    "review_queue": f"WITH {_T}, {_K}, {_D} SELECT input_name, master_id, matched_name, confidence, reason FROM decisions WHERE decision = 'NEEDS_REVIEW'",
+    "segment_parents": f"WITH {_T}, {_M}, seg AS (SELECT row_id, unnest([{_sql_n('name')}, {_sql_n('city')}]) AS key FROM target) SELECT row_id, count(DISTINCT master_id) AS n, min(master_id) AS first_id FROM seg JOIN v USING (key) GROUP BY 1",
 }
+
+
+def _list(c: str) -> str:
+    return f"array_to_string(list_sort({c}), ' ')"
+
+
+def _fixture_oracles() -> dict[str, str]:
+    t = cascade_sql.tables(INSTITUTIONS)
+    lists = ("short_acronyms", "acronym_keys", "abbreviations", "ident_base", "ident_short", "cities", "name_tokens", "domain", "delivery", "families", "unique_keys", "city_keys")
+    kinds = {"variants": "variants", "fingerprints": "fingerprints", "tokens": "tokens", "acronyms": "acronyms", "places": "locations"}
+    only = "SELECT match_key, min(master_id) AS master_id FROM ({}) GROUP BY match_key HAVING count(DISTINCT master_id) = 1"
+    said = "coalesce(CAST(master_id AS VARCHAR), 'Not Found')"
+    seen = "(SELECT five.*, row_number() OVER (PARTITION BY match_key ORDER BY rank) AS n FROM five WHERE confidence > 0 AND NOT conflict)"
+    return {k: f"WITH {t} {q}" for k, q in {
+        "master_records": f"SELECT master_id, name AS r_name, clean_name, base_name, clean_short, raw_city, clean_city, match_name, match_base, match_short, {', '.join(f'{_list(c)} AS {c}' for c in lists)} FROM r",
+        "master_postings": " UNION ALL ".join(f"SELECT '{kind}' AS kind, key, count(*) AS n, min(master_id) AS first_id FROM {table} GROUP BY key" for table, kind in kinds.items()),
+        "input_identities": "SELECT match_key, clean, raw_id, identity, context, loc, p_input, p_loc, p_bare FROM p",
+        "input_evidence": f"SELECT match_key, {', '.join(f'{_list(c)} AS {c}' for c in ('ctx_inits', 'p_inits', 'all_inits', 'mine', 'p_domain'))}, {_list(cascade_sql.intents('clean', INSTITUTIONS))} AS asks FROM p",
+        "fixture_exact_tiers": "SELECT match_key, master_id, conflict FROM hits JOIN conflicts USING (match_key, master_id)",
+        "brand_parents": "SELECT match_key, master_id FROM proposed WHERE rule = 4",
+        "national_systems": only.format("SELECT * FROM system_ids"),
+        "label_segments": "SELECT match_key, master_id FROM proposed WHERE rule = 9",
+        "parent_scores": "SELECT match_key, master_id, parent_score FROM parents",
+        "pair_evidence": f"SELECT match_key, master_id, cov_in, cov_rec, overlap, {_list('trusted')} AS trusted, two_in_city AS two_letter, reliable, literal_id, away, sole AS unique_acr, same_city, delivery_conflict, domain_conflict FROM evident WHERE len(shared) > 0 OR len(shared_acr) > 0",
+        "pair_scores": "SELECT match_key, master_id, round(confidence, 6) AS confidence, round(token_overlap, 6) AS token_overlap, reason FROM scored WHERE confidence > 0 AND match_key IN (SELECT match_key FROM rest)",
+        "fixture_fallback": "SELECT match_key, variant, rank::INT AS rank, round(r, 6) AS r FROM fuzzy",
+        "top_k_candidates": "SELECT match_key, master_id, rank::INT AS rank, round(confidence, 6) AS confidence, round(token_overlap, 6) AS token_overlap, reason FROM five WHERE confidence > 0 AND NOT conflict",
+        "top_two_margin": f"SELECT a.match_key, a.master_id, round(a.confidence - coalesce(b.confidence, 0.0), 6) AS margin FROM {seen} a LEFT JOIN {seen} b ON b.match_key = a.match_key AND b.n = 2 WHERE a.n = 1",
+        "candidate_labels": "SELECT match_key, master_id, master_id || ' | ' || r.name || ' | ' || r.city || ', ' || r.state || ' | Confidence: ' || printf('%.1f', confidence) AS label FROM five JOIN r USING (master_id) WHERE confidence > 0 AND NOT conflict",
+        "cascade_decisions": "SELECT * FROM decisions",
+        "decision_counts": "SELECT decision, count(*) AS n FROM decisions GROUP BY 1",
+        "row_decision_counts": "SELECT decision, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM keyed JOIN decisions USING (match_key) GROUP BY 1",
+        "table_sizes": "SELECT 'master' AS what, count(*) AS n FROM given UNION ALL SELECT 'target', count(*) FROM target UNION ALL SELECT 'distinct', count(DISTINCT match_key) FROM keyed",
+        "row_decisions": "SELECT row_id, decision FROM keyed JOIN decisions USING (match_key)",
+        "confidence_buckets": "SELECT count(*) FILTER (confidence >= 95) AS high, count(*) FILTER (confidence >= 80 AND confidence < 95) AS medium, count(*) FILTER (confidence < 80) AS low FROM decisions",
+        "row_audit": f"SELECT row_id, name, city, state, decision, {said} AS master_id, coalesce(matched_name, '') AS matched_name, confidence, reason FROM keyed JOIN decisions USING (match_key)",
+        "write_back": f"SELECT row_id, name, city, state, CASE WHEN decision IS NULL THEN note ELSE {said} END AS note, CASE decision WHEN 'NOT_FOUND' THEN 'NOT FOUND' WHEN 'NEEDS_REVIEW' THEN 'NEEDS REVIEW' WHEN 'FOUND' THEN 'FOUND' END AS match_status, confidence AS confidence_score FROM keyed LEFT JOIN (SELECT * FROM decisions WHERE decision <> 'NOT_FOUND' OR reason LIKE 'Verified%') USING (match_key)",
+        "review_queue": "SELECT input_name, master_id, matched_name, confidence, reason FROM decisions WHERE decision = 'NEEDS_REVIEW'",
+        "reviewed_decisions": "SELECT match_key, CASE WHEN decision <> 'NEEDS_REVIEW' THEN decision WHEN master_id % 2 = 0 THEN 'FOUND' ELSE 'NOT_FOUND' END AS decision, CASE WHEN decision <> 'NEEDS_REVIEW' OR master_id % 2 = 0 THEN master_id END AS master_id FROM decisions",
+    }.items()}
+
+
+ORACLES |= _fixture_oracles()

@@ -1,6 +1,6 @@
 """Name normalization and token functions as native Column expressions.
 
-Null and NaN count as the empty string everywhere. Only NFKC needs Python, and only for text outside ASCII (see nfkc()).
+Null and NaN count as the empty string everywhere, and so does the text 'NaN', which a NaN becomes in a text column. Only NFKC needs Python, and only for text outside ASCII (see nfkc()).
 """
 
 from __future__ import annotations
@@ -27,6 +27,18 @@ def mapped(values: dict) -> Column | None:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv]) if values else None
 
 
+def filled(c: Column) -> Column:
+    """The value as text; null and NaN as the empty text."""
+    x = c.cast("string")
+    return F.when(x.isNull() | (x == "NaN"), "").otherwise(x)
+
+
+def fixed(c: Column, digits: int) -> Column:
+    """A number with one or two decimals; a tie (a multiple of 1/4 or 1/8) goes to the even digit."""
+    parts, ties, step = (4, (1,), 0.01) if digits == 1 else (8, (1, 5), 0.001)
+    return F.format_string(f"%.{digits}f", F.when(F.pmod(c * parts, F.lit(float(parts))).isin(*map(float, ties)), c - step).otherwise(c))
+
+
 def nfkc(c: Column) -> Column:
     """NFKC of text; ASCII text passes unchanged."""
 
@@ -56,7 +68,7 @@ def tokens(c: Column) -> Column:
 
 def normalize(c: Column, rules: RuleSet = INSTITUTIONS, unicode: bool = True) -> Column:
     """Canonical lower-case words, single-spaced. unicode=False leaves NFKC out (for ASCII text: the plan then has no Python)."""
-    x = F.coalesce(c.cast("string"), F.lit(""))
+    x = filled(c)
     for wrong, right in MOJIBAKE.items():
         x = F.replace(x, F.lit(wrong), F.lit(right))
     x = F.translate(x, _OPEN + _CLOSE, "")
@@ -90,7 +102,7 @@ def match_key(name: Column, location: Column, region: Column, rules: RuleSet = I
 
 def without_alias(c: Column, rules: RuleSet = INSTITUTIONS, unicode: bool = True) -> Column:
     """Normalized name without a [bracketed] alias and the hyphen before it."""
-    return normalize(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s*-?\s*\[[^\]]+\]", " "), rules, unicode)
+    return normalize(F.regexp_replace(filled(c), r"(?U)\s*-?\s*\[[^\]]+\]", " "), rules, unicode)
 
 
 def match_phrase(clean: Column, rules: RuleSet = INSTITUTIONS) -> Column:
@@ -182,7 +194,7 @@ def families(clean_name: Column, clean_short: Column, rules: RuleSet = INSTITUTI
 
 def structural_identity(raw: Column, rules: RuleSet = INSTITUTIONS, unicode: bool = True) -> Column:
     """The part of a comma-separated label that names the institution."""
-    parts = F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), ","), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(filled(raw), ","), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
     raws = F.array_join(parts, "\u0003")
     # segments are normalized at once: the separator survives as a word of its own
     clean = F.transform(F.split(_segments(raws, rules, unicode), "\u0003"), lambda s: F.trim(s))

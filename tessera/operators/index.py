@@ -24,7 +24,7 @@ def validated(master: DataFrame) -> DataFrame:
     for c in OPTIONAL:
         if c not in master.columns:
             master = master.withColumn(c, F.lit(""))
-    text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("name", "city", "state", *OPTIONAL)]
+    text = [X.filled(F.col(c)).alias(c) for c in ("name", "city", "state", *OPTIONAL)]
     return master.select(F.col("master_id").cast("long").alias("master_id"), *text, *(c for c in ("_row_id",) if c in master.columns))
 
 
@@ -86,16 +86,18 @@ class Index:
     acronyms: DataFrame
     locations: DataFrame
     phrases: DataFrame
+    phrases_size: tuple[int, int]
 
 
 def build(master: DataFrame, rules: RuleSet = INSTITUTIONS, unicode: bool = True) -> Index:
     """Postings hold all rows; of rows with one id the last is the record. The enriched rows,
-    the phrases and the records are checkpointed: everything else is made from them."""
+    the phrases and the records are written once: everything else is made from them."""
     rows = L.cut(enriched(supplemented(validated(master), rules), rules, unicode))
     phrases = L.cut(L.phrase_dictionary(rows.select(F.col("raw_city").alias("raw"), F.col("clean_city").alias("clean")), rules))
+    size = L.measure(phrases)
     dim = last_record(rows.drop("variants", "fingerprints"))
-    dim = L.with_location(dim, "clean_name", phrases, rules, "name_city")
-    dim = L.with_location(dim, "clean_short", phrases, rules, "short_city")
+    dim = L.with_location(dim, "clean_name", phrases, rules, "name_city", size=size)
+    dim = L.with_location(dim, "clean_short", phrases, rules, "short_city", size=size)
     dim = dim.withColumn("cities", F.array_distinct(F.filter(F.array("clean_city", "name_city", "short_city"), lambda c: c != "")))
     dim = L.cut(dim)
     acronyms = postings(rows, F.col("acronym_keys"))
@@ -114,7 +116,7 @@ def build(master: DataFrame, rules: RuleSet = INSTITUTIONS, unicode: bool = True
     })
     both = F.concat("ident_base", "ident_short")
     dim = L.cut(dim)
-    return Index(dim, postings(rows, F.col("variants")), postings(rows, F.col("fingerprints")), postings(rows, both), acronyms, located, phrases)
+    return Index(dim, postings(rows, F.col("variants")), postings(rows, F.col("fingerprints")), postings(rows, both), acronyms, located, phrases, size)
 
 
 def city_unique(acronyms: DataFrame, located: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fixed
+
 STATUS = {"NOT_FOUND": "NOT FOUND", "NEEDS_REVIEW": "NEEDS REVIEW"}
 
 
@@ -32,13 +34,20 @@ def confidence_buckets(decisions: DataFrame) -> DataFrame:
 
 
 def row_audit(rows: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Rows with a decision, in the order of _row_id when written: input columns and all of the decision."""
+    """Rows with a decision: input columns and all of the decision, in the order of _row_id where the rows have one."""
     d = decisions.select("match_key", "decision", F.coalesce(F.col("master_id").cast("string"), F.lit("Not Found")).alias("master_id"), F.coalesce("matched_name", F.lit("")).alias("matched_name"), "confidence", "reason")
-    return rows.join(d, "match_key")
-
-
-def write_back(rows: DataFrame, decisions: DataFrame, id_column: str, status: str = "Match Status", confidence: str = "Confidence Score") -> DataFrame:
-    """The target with its id column filled and two columns after it; rows without a decision keep what they had."""
+    out = rows.join(d, "match_key")
+    return out.orderBy("_row_id") if "_row_id" in rows.columns else out
+
+
+def write_back(rows: DataFrame, decisions: DataFrame, id_column: str, status: str = "Match Status", confidence: str = "Confidence Score", name_column: str | None = None) -> DataFrame:
+    """The target with its id column filled and two columns after it; rows without a decision keep what they had. The order of rows is that of _row_id
+    where the rows have one. A name or id column that is missing, or both the same, is an error."""
+    if id_column == name_column:
+        raise ValueError("The name column and the id column must differ")
+    missing = [c for c in (name_column, id_column) if c is not None and c not in rows.columns]
+    if missing:
+        raise ValueError(f"Target is missing columns: {missing}")
     had = [c for c in rows.columns if c != "match_key"]
     d = decisions.select("match_key", F.col("decision").alias("_decision"), F.col("master_id").alias("_id"), F.col("confidence").alias("_confidence"))
     j = rows.join(d, "match_key", "left")
@@ -50,9 +59,11 @@ def write_back(rows: DataFrame, decisions: DataFrame, id_column: str, status: st
         confidence: F.when(known, F.coalesce("_confidence", F.lit(0.0))).otherwise(old(confidence, "double")),
     }
     order = [*had]
-    for name, after in ((id_column, had[-1]), (status, id_column), (confidence, status)):
+    for name, after in ((status, id_column), (confidence, status)):
         if name not in order:
             order.insert(order.index(after) + 1, name)
+    if "_row_id" in had:
+        j = j.orderBy("_row_id")
     return j.select(*[new[c].alias(c) if c in new else F.col(c) for c in order])
 
 
@@ -62,7 +73,7 @@ def review_queue(decisions: DataFrame) -> DataFrame:
 
 def label(c: DataFrame) -> Column:
     """id | name | city, state | confidence of a candidate row."""
-    return F.format_string("%d | %s | %s, %s | Confidence: %.1f", "master_id", "name", "city", "state", "confidence")
+    return F.concat(F.format_string("%d | %s | %s, %s | Confidence: ", "master_id", "name", "city", "state"), fixed(F.col("confidence"), 1))
 
 
 def safe_ratio(done: Column, total: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.fuzzy import lexical_score
+from . import locations as L
 from .rules import INSTITUTIONS, RuleSet
 
 PARENT_REASON = "Explicit parent institution"
@@ -87,26 +88,55 @@ def features(pairs: DataFrame, rules: RuleSet = INSTITUTIONS) -> DataFrame:
                           "gate": (F.col("away") & ~F.col("unique_acr")) | delivery_conflict(F.col("p_bare"), rules) | domain_conflict(F.col("p_domain"))})
 
 
+def _exact_city() -> Column:
+    return (F.col("p_loc") != "") & (F.col("p_loc") == F.col("clean_city"))
+
+
+def _three_signals() -> Column:
+    """Acronym, category and city agree."""
+    return (F.size("trusted") > 0) & F.arrays_overlap(F.col("p_domain"), F.col("domain")) & _exact_city()
+
+
+def _unconfirmed_domain() -> Column:
+    return (F.size("p_domain") > 0) & (F.size("domain") == 0)
+
+
 def score_without_lexical() -> Column:
     """The score of a pair that passed the gates, given `lexical` (0 to 100)."""
-    place = F.col("p_loc")
     c = F.col("lexical") * 0.6 + F.least("cov_in", "cov_rec") * 30.0
     c = c - F.when(F.col("overlap") == 0, 50).when(F.col("overlap") < 0.5, 18).otherwise(0)
-    exact = (place != "") & (place == F.col("clean_city"))
-    c = c + F.when(exact, 15).otherwise(0)
-    c = c - F.when((F.size("p_domain") > 0) & (F.size("domain") == 0), 25).otherwise(0)
-    three = (F.size("trusted") > 0) & F.arrays_overlap(F.col("p_domain"), F.col("domain")) & exact
-    c = F.when(three, F.greatest(c, F.lit(98.0))).when(F.col("reliable") & F.col("same_city"), F.greatest(c, F.lit(90.0))).otherwise(c)
+    c = c + F.when(_exact_city(), 15).otherwise(0)
+    c = c - F.when(_unconfirmed_domain(), 25).otherwise(0)
+    c = F.when(_three_signals(), F.greatest(c, F.lit(98.0))).when(F.col("reliable") & F.col("same_city"), F.greatest(c, F.lit(90.0))).otherwise(c)
     c = F.greatest(F.lit(0.0), F.least(F.lit(100.0), c))
     return F.when(F.col("away") & F.col("unique_acr"), F.least(c, F.lit(75.0))).otherwise(c)
 
 
+def reason() -> Column:
+    """What raised and lowered the score of a pair."""
+    return F.concat_ws(
+        ", ",
+        F.concat(F.lit("Name similarity "), X.fixed(F.col("lexical"), 1)),
+        F.concat(F.lit("identity-token overlap "), X.fixed(F.col("overlap"), 2)),
+        F.when(F.col("overlap") == 0, "no meaningful name-token match").when(F.col("overlap") < 0.5, "weak meaningful-token match"),
+        F.when(_exact_city(), "exact city match"),
+        F.when(_unconfirmed_domain(), "candidate does not confirm institution category"),
+        F.when(_three_signals(), "abbreviation, institution category and city confirmed").when(F.col("reliable") & F.col("same_city"), "maintained acronym and campus confirmed"),
+        F.when(F.col("away") & F.col("unique_acr"), "unique acronym match but city requires review"),
+    )
+
+
 def scored(pairs: DataFrame, rules: RuleSet = INSTITUTIONS, scorer: str = "difflib") -> DataFrame:
-    """Pairs with a score above zero: key, master_id, confidence, overlap, reason. The lexical UDF sees only what the gates leave."""
-    f = features(pairs, rules).where("not gate")
-    out = ["key", "master_id", "confidence", "overlap", "reason"]
-    parents = f.where("parent is not null").select("key", "master_id", F.col("parent").alias("confidence"), F.lit(1.0).alias("overlap"), F.lit(PARENT_REASON).alias("reason"))
-    rest = f.where("parent is null and (literal_id or reliable)")
-    rest = rest.withColumn("lexical", lexical_score(F.col("p_input"), F.col("p_bare"), F.col("values"), scorer)).withColumn("confidence", score_without_lexical())
-    reason = F.concat_ws(", ", F.format_string("Name similarity %.1f", "lexical"), F.format_string("identity-token overlap %.2f", "overlap"))
-    return parents.select(*out).union(rest.where("confidence > 0").withColumn("reason", reason).select(*out))
+    """Pairs with a score above zero: key, master_id, confidence, overlap, reason. The lexical UDF sees only what the gates leave. Pairs marked
+    `only_parent` count as named parents or not at all."""
+    parent, out = F.col("parent").isNotNull(), ["key", "master_id", "confidence", "overlap", "reason"]
+    named = F.col("literal_id") | F.col("reliable")
+    if "only_parent" in pairs.columns:
+        named = named & ~F.col("only_parent")
+    f = features(pairs, rules).where(~F.col("gate") & (parent | named))
+    # what the gates leave is written, so that the gates are neither computed again nor mixed with the ratios
+    f = L.cut(f.select("key", "master_id", "parent", "p_input", "p_bare", "p_loc", "p_domain", "values", "clean_city", "domain", "cov_in", "cov_rec", "overlap", "trusted", "reliable", "same_city", "away", "unique_acr"))
+    # named parents need no ratio
+    f = f.withColumn("lexical", lexical_score(F.col("p_input"), F.col("p_bare"), F.when(parent, X.arr(())).otherwise(F.col("values")), scorer))
+    f = f.withColumns({"confidence": F.when(parent, F.col("parent")).otherwise(score_without_lexical()), "reason": F.when(parent, PARENT_REASON).otherwise(reason()), "overlap": F.when(parent, 1.0).otherwise(F.col("overlap"))})
+    return f.where("confidence > 0").select(*out)

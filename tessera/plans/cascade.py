@@ -6,11 +6,14 @@ has decided. Ties between candidates go to the smaller id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.fuzzy import ratio
 from ..operators import index as I
 from ..operators import locations as L
 from ..operators import scoring as S
@@ -21,7 +24,7 @@ RESULT = "input_name string, normalized_name string, match_key string, input_cit
 
 def with_keys(target: DataFrame, name: str, city: str | None = None, state: str | None = None, rules: RuleSet = INSTITUTIONS, unicode: bool = True) -> DataFrame:
     """Adds match_key to every row."""
-    c = lambda x: F.coalesce(F.col(x).cast("string"), F.lit("")) if x else F.lit("")
+    c = lambda x: X.filled(F.col(x)) if x else F.lit("")
     return target.withColumn("match_key", X.match_key(c(name), c(city), c(state), rules, unicode))
 
 
@@ -32,17 +35,17 @@ def distinct_inputs(rows: DataFrame, row_id: str = "_row_id") -> DataFrame:
 
 def probes(inputs: DataFrame, index: I.Index, rules: RuleSet, unicode: bool) -> DataFrame:
     n = lambda c: X.normalize(c, rules, unicode)
-    p = inputs.select(F.col("match_key").alias("key"), *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("name", "city", "state")))
+    p = inputs.select(F.col("match_key").alias("key"), *(X.filled(F.col(c)).alias(c) for c in ("name", "city", "state")))
     p = p.withColumns({"clean": n(F.col("name")), "raw_id": X.structural_identity(F.col("name"), rules, unicode), "clean_city_in": X.canonical(n(F.col("city")), rules)})
     p = p.withColumn("identity", X.match_phrase(F.col("raw_id"), rules))
-    # each detection reads its input twice: checkpointed, so that plans do not double
-    p = L.with_location(L.cut(p), "clean", index.phrases, rules, "name_loc")
+    # each detection reads its input twice: written first, so that plans do not double
+    p = L.with_location(L.cut(p), "clean", index.phrases, rules, "name_loc", size=index.phrases_size)
     add = (F.col("clean_city_in") != "") & (F.col("name_loc") == "")
     p = p.withColumn("context", F.when(add, n(F.concat_ws(" ", "name", "city"))).otherwise(F.col("clean")))
-    p = L.with_location(L.cut(p), "context", index.phrases, rules, "loc")
+    p = L.with_location(L.cut(p), "context", index.phrases, rules, "loc", size=index.phrases_size)
     p = p.withColumn("ctx_inits", X.initialisms(F.col("context"), rules))
     p = p.withColumn("p_input", F.when((F.col("loc") != "") & ~F.contains(F.col("identity"), F.col("loc")), F.trim(F.concat_ws(" ", "identity", "loc"))).otherwise(F.col("identity")))
-    p = L.with_location(L.cut(p), "p_input", index.phrases, rules, "p_loc", "p_phrase")
+    p = L.with_location(L.cut(p), "p_input", index.phrases, rules, "p_loc", "p_phrase", index.phrases_size)
     p = p.withColumn("p_bare", L.without_phrase(F.col("p_input"), F.col("p_phrase")))
     return p.withColumns({"p_inits": X.initialisms(F.col("p_bare"), rules), "p_all_inits": X.initialisms(F.col("p_input"), rules), "p_tokens": X.identity_tokens(F.col("p_bare"), rules), "p_words": X.tokens(F.col("p_input")), "p_domain": X.domain_markers(F.col("p_bare"), rules)})
 
@@ -55,16 +58,27 @@ def exact_hits(p: DataFrame, index: I.Index) -> DataFrame:
 
 
 def candidates(p: DataFrame, index: I.Index, rules: RuleSet) -> DataFrame:
-    """(key, master_id) by shared identity tokens, acronyms, named parents, and records of the input's location that share a name token."""
+    """(key, master_id, only_parent, only_local) by shared identity tokens, acronyms, named parents, and records of the input's location that share a name token."""
     by = lambda keys, t: p.select("key", F.explode(keys).alias("k")).join(t.withColumnRenamed("key", "k"), "k").select("key", "master_id")
-    out = by(F.col("p_tokens"), index.tokens).union(by(F.col("p_inits"), index.acronyms))
+    kind = lambda df, parent, local: df.select("key", "master_id", F.lit(parent).alias("only_parent"), F.lit(local).alias("only_local"))
+    out = kind(by(F.col("p_tokens"), index.tokens).union(by(F.col("p_inits"), index.acronyms)), False, False)
     if rules.parent_markers:
         marked = p.where(F.arrays_overlap("p_words", X.arr(rules.parent_markers)))
-        out = out.union(marked.select("key", F.explode(X.meaningful_tokens(F.col("p_input"), rules)).alias("k")).join(index.tokens.withColumnRenamed("key", "k"), "k").select("key", "master_id"))
+        named = marked.select("key", F.explode(X.meaningful_tokens(F.col("p_input"), rules)).alias("k")).join(index.tokens.withColumnRenamed("key", "k"), "k")
+        out = out.union(kind(named, True, False))
     # a record of the location without a shared name token can only be rejected, so tokens and location are one join key
     named = index.dim.select("master_id", F.explode("cities").alias("place"), "name_tokens").select("master_id", "place", F.explode("name_tokens").alias("k"))
-    local = p.where("p_loc <> ''").select("key", F.col("p_loc").alias("place"), F.explode("p_tokens").alias("k")).join(named, ["place", "k"]).select("key", "master_id")
-    return out.union(local).distinct()
+    local = p.where("p_loc <> ''").select("key", F.col("p_loc").alias("place"), F.explode("p_tokens").alias("k")).join(named, ["place", "k"])
+    return out.union(kind(local, False, True)).groupBy("key", "master_id").agg(F.min("only_parent").alias("only_parent"), F.min("only_local").alias("only_local"))
+
+
+def fallback(lone: DataFrame, index: I.Index, scorer: str = "difflib", limit: int = 100, cutoff: float = 25.0) -> DataFrame:
+    """key, variant and rank: the variants that share a word with an input (key, p_input), by ratio, the best `limit` from `cutoff` up. A variant without a
+    shared word leads to no record that could pass the identity gate."""
+    words = index.variants.select(F.col("key").alias("variant")).distinct().select("variant", F.explode(X.tokens(F.col("variant"))).alias("k"))
+    pairs = lone.select("key", "p_input", F.explode(F.array_distinct(X.tokens(F.col("p_input")))).alias("k")).join(words, "k").select("key", "p_input", "variant").distinct()
+    near = pairs.withColumn("confidence", ratio(F.col("p_input"), F.col("variant"), scorer)).where(F.col("confidence") >= cutoff)
+    return rank(near.withColumnRenamed("variant", "master_id"), limit).select("key", F.col("master_id").alias("variant"), "rank", "confidence")
 
 
 def _only(df: DataFrame) -> DataFrame:
@@ -72,6 +86,14 @@ def _only(df: DataFrame) -> DataFrame:
     return df.groupBy("key").agg(F.count_distinct("master_id").alias("n"), F.min("master_id").alias("master_id")).where("n = 1").select("key", "master_id")
 
 
+def ranking_pool(rest: DataFrame, index: I.Index, rules: RuleSet, scorer: str) -> DataFrame:
+    """(key, master_id, only_parent) of all candidates; inputs without any by words, acronyms or parents get those of the fuzzy fallback."""
+    pool = L.cut(candidates(rest, index, rules))
+    lone = rest.where("p_input <> ''").join(pool.where("not only_local").select("key").distinct(), "key", "left_anti")
+    near = fallback(lone, index, scorer).join(index.variants.withColumnRenamed("key", "variant"), "variant").select("key", "master_id", F.lit(False).alias("only_parent"))
+    return pool.select("key", "master_id", "only_parent").union(near).groupBy("key", "master_id").agg(F.min("only_parent").alias("only_parent"))
+
+
 def _say(df: DataFrame, rule: int, decision: str, confidence: float, reason: str) -> DataFrame:
     return df.select("key", F.lit(rule).alias("rule"), "master_id", F.lit(decision).alias("decision"), F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason"))
 
@@ -81,13 +103,15 @@ def _unconflicted(pairs: DataFrame, p: DataFrame, dim: DataFrame) -> DataFrame:
     return pairs.join(p, "key").join(dim, "master_id").withColumn("conflict", S.location_conflict(F.col("loc"), F.col("ctx_inits")))
 
 
-def match(master: DataFrame, inputs: DataFrame, rules: RuleSet = INSTITUTIONS, scorer: str = "difflib", unicode: bool = True, top: int = 5, index: I.Index | None = None) -> DataFrame:
-    """Decisions for distinct inputs (match_key, name, city, state): one row per key, with up to `top` candidates."""
-    spark = master.sparkSession
+def match(master: DataFrame, inputs: DataFrame, rules: RuleSet = INSTITUTIONS, scorer: str = "difflib", unicode: bool = True, top: int = 5, index: I.Index | None = None, progress: Callable[[int, int, str], None] = lambda done, total, what: None) -> DataFrame:
+    """Decisions for distinct inputs (match_key, name, city, state): one row per key, with up to `top` candidates. `progress` is told how many of the
+    stages are done."""
     index = index or I.build(master, rules, unicode)
+    progress(1, 4, "Master index built")
     dim = index.dim.select(*[F.col(c).alias({"name": "r_name", "city": "r_city", "state": "r_state"}.get(c, c)) for c in index.dim.columns])
     p = probes(inputs, index, rules, unicode).withColumn("print", X.fingerprint(F.col("identity")))
     p = L.cut(p)
+    progress(2, 4, "Inputs prepared")
     found = []
     if rules.verified_absent:
         gone = list(rules.verified_absent)
@@ -97,14 +121,11 @@ def match(master: DataFrame, inputs: DataFrame, rules: RuleSet = INSTITUTIONS, s
             ids = X.mapped(alias)
             hit = p.select("key", F.coalesce(F.element_at(ids, F.col("clean")), F.element_at(ids, F.col("context"))).cast("long").alias("master_id")).where("master_id is not null")
             found.append(_say(_unconflicted(hit, p, dim).where("not conflict"), rule, decision, confidence, reason))
-    for word, start, lacks, category in rules.brands:
-        asked = p.where(F.array_contains(X.tokens(F.col("clean")), word) & (F.col("loc") != "")).select("key", F.col("loc").alias("k"))
-        parent = dim.where(F.startswith("base_name", F.lit(start)) & ~F.arrays_overlap(X.tokens(F.col("base_name")), X.arr(lacks)) & (F.lower("category") == category)).select("master_id")
-        here = index.locations.withColumnRenamed("key", "k").join(parent, "master_id")
-        found.append(_say(_only(asked.join(here, "k")), 4, "FOUND", 98.0, "Parent university and campus city confirmed"))
+    for brand in rules.brands:
+        found.append(_say(_brand(p, index, dim, brand), 4, "FOUND", 98.0, f"{brand[0].capitalize()} parent university and campus city confirmed"))
     if rules.families:
         found.append(_say(_systems(p, index, dim, rules), 5, "FOUND", 99.0, "National institution acronym and city confirmed"))
-    hits = _unconflicted(exact_hits(p, index), p, dim)
+    hits = L.cut(_unconflicted(exact_hits(p, index), p.select("key", "identity", "loc", "ctx_inits"), dim).select("key", "master_id", "conflict", "identity", "clean_name", "base_name", "match_name", "match_base", "clean_short"))
     sized = hits.withColumn("n_all", F.count("*").over(W.partitionBy("key")))
     found.append(_say(sized.where("n_all = 1 and conflict"), 7, "NEEDS_REVIEW", 70.0, "Unique institution name; input city differs from the master city and requires verification"))
     by = W.partitionBy("key")
@@ -112,20 +133,26 @@ def match(master: DataFrame, inputs: DataFrame, rules: RuleSet = INSTITUTIONS, s
     kept = hits.where("not conflict").withColumn("literal", literal).withColumn("any_literal", F.max("literal").over(by)).where("literal or not any_literal")
     spelled = kept.withColumn("full", (F.col("clean_short") == F.col("identity")).cast("int")).withColumn("n_full", F.sum("full").over(by)).withColumn("n", F.count("*").over(by))
     found.append(_say(_only(spelled.where("n = 1 or n_full <> 1 or full = 1")), 8, "FOUND", 100.0, "Unique exact master match"))
-    found.append(_say(_segments(p, index, dim, rules), 9, "NEEDS_REVIEW", 92.0, "Explicit parent institution confirmed; specialised sub-unit has no unique exact master record"))
+    found.append(_say(_segments(p, index, dim, rules, unicode), 9, "NEEDS_REVIEW", 92.0, "Explicit parent institution confirmed; specialised sub-unit has no unique exact master record"))
     early = found[0]
     for f in found[1:]:
         early = early.union(f)
     cols = ["rule", "master_id", "decision", "confidence", "reason"]
     early = early.groupBy("key").agg(F.min_by(F.struct(*cols), F.struct("rule", F.coalesce("master_id", F.lit(0)))).alias("r")).select("key", "r.*")
     early = L.cut(early)
-    rest = p.join(early.select("key"), "key", "left_anti")
-    pool = candidates(rest, index, rules)
+    progress(3, 4, "Exact rules applied")
+    rest = L.cut(p.join(early.select("key"), "key", "left_anti"))
+    pool = L.cut(ranking_pool(rest, index, rules, scorer))
     ranked = rank(S.scored(pool.join(rest, "key").join(dim, "master_id"), rules, scorer), top)
     ranked = _unconflicted(ranked, rest.select("key", "loc", "ctx_inits"), dim).where("not conflict")
-    late = decide(ranked, rules)
-    empty = rest.select("key").join(late.select("key"), "key", "left_anti").join(pool.select("key").distinct().withColumn("some", F.lit(True)), "key", "left")
-    empty = empty.select("key", F.lit(13).alias("rule"), F.lit(None).cast("long").alias("master_id"), F.lit("NOT_FOUND").alias("decision"), F.lit(0.0).alias("confidence"), F.when(F.col("some"), "No credible master match").otherwise("No master candidate found").alias("reason"), _no_candidates().alias("candidates"))
+    ranked = L.cut(ranked.select("key", "master_id", "rank", "confidence", "overlap", "reason", "loc", "r_name", "r_city", "r_state", "category"))
+    late = L.cut(decide(ranked, rules))
+    progress(4, 4, "Candidates ranked")
+    # what is left had candidates that all score zero, unless nothing was found or all of it lies elsewhere
+    seen = _unconflicted(pool.select("key", "master_id"), rest.select("key", "loc", "ctx_inits"), dim).where("not conflict").select("key")
+    seen = seen.union(rest.where("p_loc <> ''").join(index.locations.select(F.col("key").alias("p_loc")).distinct(), "p_loc").select("key")).distinct().withColumn("some", F.lit(True))
+    empty = rest.join(late.select("key"), "key", "left_anti").join(seen, "key", "left")
+    empty = empty.select("key", F.lit(13).alias("rule"), F.lit(None).cast("long").alias("master_id"), F.lit("NOT_FOUND").alias("decision"), F.lit(0.0).alias("confidence"), F.when(F.col("some") & (F.col("p_input") != ""), "No credible master match").otherwise("No master candidate found").alias("reason"), _no_candidates().alias("candidates"))
     done = early.withColumn("candidates", _no_candidates()).unionByName(late).unionByName(empty)
     out = p.select("key", "name", "clean", "city", "state").join(done, "key").join(dim.select("master_id", "r_name"), "master_id", "left")
     return out.select(F.col("name").alias("input_name"), F.col("clean").alias("normalized_name"), F.col("key").alias("match_key"), F.col("city").alias("input_city"), F.col("state").alias("input_state"), "decision", "master_id", F.col("r_name").alias("matched_name"), F.round("confidence", 2).alias("confidence"), "reason", "candidates")
@@ -154,11 +181,19 @@ def decide(ranked: DataFrame, rules: RuleSet = INSTITUTIONS) -> DataFrame:
     sure = (parent | ((F.col("confidence") >= 96) & (F.col("overlap") >= 0.75) & (F.col("margin") >= 8))) & F.lit(not rules.strict)
     weak = (F.col("overlap") == 0) | (F.col("confidence") < 20)
     best = best.withColumn("decision", F.when(sure, "FOUND").when(weak, "NOT_FOUND").otherwise("NEEDS_REVIEW"))
-    reason = F.when(F.col("decision") == "FOUND", F.col("reason")).when(F.col("decision") == "NOT_FOUND", "No credible master match").otherwise(F.format_string("Ambiguous match; top-two margin %.1f", "margin"))
+    reason = F.when(F.col("decision") == "FOUND", F.col("reason")).when(F.col("decision") == "NOT_FOUND", "No credible master match").otherwise(F.concat(F.lit("Ambiguous match; top-two margin "), X.fixed(F.col("margin"), 1)))
     best = best.select("key", F.lit(11).alias("rule"), F.when(F.col("decision") != "NOT_FOUND", F.col("master_id")).alias("master_id"), "decision", "confidence", reason.alias("reason"))
     return best.join(every, "key")
 
 
+def _brand(p: DataFrame, index: I.Index, dim: DataFrame, brand: tuple) -> DataFrame:
+    """The one parent record of a brand in the input's location."""
+    word, start, lacks, category = brand
+    asked = p.where(F.array_contains(X.tokens(F.col("clean")), word) & (F.col("loc") != "")).select("key", F.col("loc").alias("k"))
+    parent = dim.where(F.startswith("base_name", F.lit(start)) & ~F.arrays_overlap(X.tokens(F.col("base_name")), X.arr(lacks)) & (F.lower("category") == category)).select("master_id")
+    return _only(asked.join(index.locations.withColumnRenamed("key", "k").join(parent, "master_id"), "k"))
+
+
 def _systems(p: DataFrame, index: I.Index, dim: DataFrame, rules: RuleSet) -> DataFrame:
     """The one record of a national system in the input's location, narrowed by course concepts where several remain."""
     words = X.tokens(F.col("clean"))
@@ -176,10 +211,10 @@ def _systems(p: DataFrame, index: I.Index, dim: DataFrame, rules: RuleSet) -> Da
     return _only(own)
 
 
-def _segments(p: DataFrame, index: I.Index, dim: DataFrame, rules: RuleSet) -> DataFrame:
+def _segments(p: DataFrame, index: I.Index, dim: DataFrame, rules: RuleSet, unicode: bool = True) -> DataFrame:
     """The one record that the comma-separated parts of the label name, without location conflict."""
     parts = p.select("key", "loc", F.explode(F.split("name", ",")).alias("raw"))
-    parts = parts.withColumn("segment", X.match_phrase(X.normalize(F.col("raw"), rules, unicode=False), rules)).where("segment <> ''")
+    parts = parts.withColumn("segment", X.match_phrase(X.normalize(F.col("raw"), rules, unicode), rules)).where("segment <> ''")
     acr = F.transform(F.regexp_extract_all("raw", F.lit(r"\b([A-Z][A-Z0-9]{2,})\b"), F.lit(1)), F.lower)
     hit = lambda keys, t: parts.select("key", "segment", F.explode(keys).alias("k")).join(t.withColumnRenamed("key", "k"), "k").select("key", "segment", "master_id")
     plain = hit(F.array("segment"), index.variants).union(hit(acr, index.acronyms))
@@ -190,9 +225,12 @@ def _segments(p: DataFrame, index: I.Index, dim: DataFrame, rules: RuleSet) -> D
 
 
 def match_all(master: DataFrame, target: DataFrame, name: str, city: str | None = None, state: str | None = None, row_id: str | None = None, rules: RuleSet = INSTITUTIONS, **how) -> tuple[DataFrame, DataFrame]:
-    """The keyed target rows and the decisions of their distinct inputs."""
+    """The keyed target rows and the decisions of their distinct inputs. Missing columns are an error."""
+    missing = sorted({c for c in (name, city, state, row_id) if c} - set(target.columns))
+    if missing:
+        raise ValueError(f"Target is missing columns: {missing}")
     rows = with_keys(target, name, city, state, rules, how.get("unicode", True))
     rows = rows.withColumn("_row_id", F.col(row_id) if row_id else F.monotonically_increasing_id())
-    c = lambda x, to: (F.coalesce(F.col(x).cast("string"), F.lit("")) if x else F.lit("")).alias(to)
+    c = lambda x, to: (X.filled(F.col(x)) if x else F.lit("")).alias(to)
     inputs = distinct_inputs(rows.select("match_key", c(name, "name"), c(city, "city"), c(state, "state"), "_row_id"))
     return rows, match(master, inputs, rules, **how)

@@ -65,15 +65,24 @@ def _column(ref: str) -> int:
     return n - 1
 
 
+def _first_sheet(z: zipfile.ZipFile) -> tuple[str, str]:
+    """The part that holds the workbook's first sheet, and that sheet's name."""
+    first = ET.fromstring(z.read("xl/workbook.xml")).find(f"{_NS}sheets")[0]
+    wanted = next((v for k, v in first.attrib.items() if k.endswith("}id")), None)
+    for rel in ET.fromstring(z.read("xl/_rels/workbook.xml.rels")):
+        if rel.get("Id") == wanted:
+            target = rel.get("Target")
+            return target.lstrip("/") if target.startswith("/") else f"xl/{target}", first.get("name")
+    raise ValueError("The workbook names no part for its first sheet")
+
+
 def parse_workbook(data: bytes) -> tuple[list[list[str | None]], str]:
     """Rows of the first sheet, and its name."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        book = ET.fromstring(z.read("xl/workbook.xml"))
-        name = book.find(f"{_NS}sheets")[0].get("name")
+        sheet, name = _first_sheet(z)
         strings = []
         if "xl/sharedStrings.xml" in z.namelist():
             strings = ["".join(t.text or "" for t in si.iter(f"{_NS}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml"))]
-        sheet = next(n for n in sorted(z.namelist()) if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
         rows = []
         for r in ET.fromstring(z.read(sheet)).iter(f"{_NS}row"):
             row: list[str | None] = []

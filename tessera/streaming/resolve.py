@@ -15,4 +15,5 @@ def resolve_stream(names: DataFrame, index: Index, column: str = "name", rules:
     """Each row with the one master id its normalized name stands for (null where none or several do)."""
     one = index.variants.groupBy("key").agg(F.count("*").alias("n"), F.min("master_id").alias("master_id")).where("n = 1").select("key", "master_id")
     keyed = names.withColumn("key", X.match_phrase(X.normalize(F.col(column), rules, unicode), rules))
-    return keyed.join(L.checked_broadcast(one), "key", "left").drop("key")
+    few = one.limit(L.BROADCAST_ROWS + 1).count() <= L.BROADCAST_ROWS
+    return keyed.join(F.broadcast(one) if few else one, "key", "left").drop("key")
