@@ -266,13 +266,21 @@ class _Fixture:
         ranked = F.col("reason").rlike("^(No |Name similarity|Explicit parent institution$|Ambiguous)")
         return self.decisions.where(~ranked).select(F.col("match_key").alias("key"))
 
-    def pairs(self, keys: DataFrame | None = None) -> DataFrame:
-        """Inputs (of some keys) joined with their candidates."""
-        p = self.probes if keys is None else self.probes.join(keys, "key", "left_semi")
-        return C.ranking_pool(p, self.index, INSTITUTIONS, "indel").join(p, "key").join(self.dim, "master_id")
+    def pairs(self) -> DataFrame:
+        """Inputs joined with all their candidates: by words, acronyms, parents and location, or else by the fuzzy fallback."""
+        pool = L.cut(C.candidates(self.probes, self.index, INSTITUTIONS))
+        lone = self.undecided().where("p_input <> ''").join(pool.where("not only_local").select("key").distinct(), "key", "left_anti")
+        near = C.fallback(lone, self.index, "indel").join(self.index.variants.withColumnRenamed("key", "variant"), "variant").select("key", "master_id", F.lit(False).alias("only_parent"))
+        pool = pool.select("key", "master_id", "only_parent").union(near).groupBy("key", "master_id").agg(F.min("only_parent").alias("only_parent"))
+        return pool.join(self.probes, "key").join(self.dim, "master_id")
+
+    def undecided(self) -> DataFrame:
+        return self.probes.join(self.early(), "key", "left_anti")
 
     def scores(self) -> DataFrame:
-        return S.scored(self.pairs(self.probes.join(self.early(), "key", "left_anti").select("key")), INSTITUTIONS, "indel")
+        rest = self.undecided()
+        pool, _ = C.ranking_pool(rest, self.index, self.dim, INSTITUTIONS, "indel")
+        return S.scored(pool.join(rest, "key").join(self.dim, "master_id"), INSTITUTIONS, "indel")
 
 
 def master_records(spark, d):

@@ -77,7 +77,8 @@ def enriched(master: DataFrame, rules: RuleSet = INSTITUTIONS, unicode: bool = T
 
 @dataclass
 class Index:
-    """dim: one record per id. The others are posting tables; phrases is the location dictionary."""
+    """dim: one record per id. The others are posting tables; phrases is the location dictionary. words counts the records of each name token; rare holds of
+    each record the rarest tokens, of which a likely input shares one (see `prefix`); heads the rarest token of each of its parent identities."""
 
     dim: DataFrame
     variants: DataFrame
@@ -87,6 +88,26 @@ class Index:
     locations: DataFrame
     phrases: DataFrame
     phrases_size: tuple[int, int]
+    words: DataFrame
+    rare: DataFrame
+    heads: DataFrame
+
+
+#: A literal identity needs this share of the tokens of either side, and two tokens (or one, of an input that has no other).
+LEAST_SHARE = 0.45
+
+
+def prefix(tokens: Column) -> Column:
+    """Of tokens in order of rarity, those of which any other list with a literal identity shares one: sharing t of n, it shares one of the first n - t + 1."""
+    n = F.size(tokens)
+    t = F.least(n, F.greatest(F.lit(2), F.ceil(n * LEAST_SHARE - 1e-9).cast("int")))
+    return F.slice(tokens, F.lit(1), F.greatest(n - t + 1, F.lit(0)))
+
+
+def by_rarity(rows: DataFrame, key: str, tokens: str, words: DataFrame) -> DataFrame:
+    """key and its tokens, the rarest first; unknown ones are the rarest."""
+    each = rows.select(key, F.explode(tokens).alias("k")).join(words, "k", "left")
+    return each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "k"))).alias("t")).select(key, F.transform("t", lambda x: x["k"]).alias(tokens))
 
 
 def build(master: DataFrame, rules: RuleSet = INSTITUTIONS, unicode: bool = True) -> Index:
@@ -114,9 +135,17 @@ def build(master: DataFrame, rules: RuleSet = INSTITUTIONS, unicode: bool = True
         "domain": X.domain_markers(F.concat_ws(" ", "clean_name", "base_name"), rules), "delivery": F.array_intersect(X.tokens(F.col("base_name")), X.arr(rules.delivery)),
         "families": X.families(name, F.col("clean_short"), rules), "values": F.array_distinct(F.concat(F.array("clean_name", "base_name", "clean_short"), F.col("abbreviations"))),
     })
-    both = F.concat("ident_base", "ident_short")
-    dim = L.cut(dim)
-    return Index(dim, postings(rows, F.col("variants")), postings(rows, F.col("fingerprints")), postings(rows, both), acronyms, located, phrases, size)
+    tokens = postings(rows, F.concat("ident_base", "ident_short"))
+    dim = L.cut(dim.join(tokens.groupBy("master_id").agg(F.collect_set("key").alias("posted")), "master_id", "left").withColumn("posted", F.coalesce("posted", empty)))
+    words = dim.select(F.explode("name_tokens").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    ranked = by_rarity(dim, "master_id", "name_tokens", words)
+    # inputs with one token match records of at most two
+    rare = ranked.select("master_id", F.explode(F.when(F.size("name_tokens") <= 2, F.col("name_tokens")).otherwise(prefix(F.col("name_tokens")))).alias("k"))
+    heads = None
+    for c in ("ident_base", "ident_short"):
+        own = by_rarity(dim, "master_id", c, words).select("master_id", F.get(c, F.lit(0)).alias("k"))
+        heads = own if heads is None else heads.union(own)
+    return Index(dim, postings(rows, F.col("variants")), postings(rows, F.col("fingerprints")), tokens, acronyms, located, phrases, size, words, rare, heads.distinct())
 
 
 def city_unique(acronyms: DataFrame, located: DataFrame) -> DataFrame:

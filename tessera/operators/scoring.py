@@ -127,13 +127,13 @@ def reason() -> Column:
 
 
 def scored(pairs: DataFrame, rules: RuleSet = INSTITUTIONS, scorer: str = "difflib") -> DataFrame:
-    """Pairs with a score above zero: key, master_id, confidence, overlap, reason. The lexical UDF sees only what the gates leave. Pairs marked
-    `only_parent` count as named parents or not at all."""
+    """Pairs with a score above zero: key, master_id, confidence, overlap, reason. The lexical UDF sees only what the gates leave. Pairs marked `by_words`
+    alone are candidates only if they share a posted word, or a word and the location."""
     parent, out = F.col("parent").isNotNull(), ["key", "master_id", "confidence", "overlap", "reason"]
-    named = F.col("literal_id") | F.col("reliable")
-    if "only_parent" in pairs.columns:
-        named = named & ~F.col("only_parent")
-    f = features(pairs, rules).where(~F.col("gate") & (parent | named))
+    if "by_words" in pairs.columns:
+        here = (F.col("p_loc") != "") & F.array_contains("cities", F.col("p_loc"))
+        pairs = pairs.where(~F.col("by_words") | F.arrays_overlap("p_tokens", "posted") | here)
+    f = features(pairs, rules).where(~F.col("gate") & (parent | F.col("literal_id") | F.col("reliable")))
     # what the gates leave is written, so that the gates are neither computed again nor mixed with the ratios
     f = L.cut(f.select("key", "master_id", "parent", "p_input", "p_bare", "p_loc", "p_domain", "values", "clean_city", "domain", "cov_in", "cov_rec", "overlap", "trusted", "reliable", "same_city", "away", "unique_acr"))
     # named parents need no ratio

@@ -86,12 +86,43 @@ def _only(df: DataFrame) -> DataFrame:
     return df.groupBy("key").agg(F.count_distinct("master_id").alias("n"), F.min("master_id").alias("master_id")).where("n = 1").select("key", "master_id")
 
 
-def ranking_pool(rest: DataFrame, index: I.Index, rules: RuleSet, scorer: str) -> DataFrame:
-    """(key, master_id, only_parent) of all candidates; inputs without any by words, acronyms or parents get those of the fuzzy fallback."""
-    pool = L.cut(candidates(rest, index, rules))
-    lone = rest.where("p_input <> ''").join(pool.where("not only_local").select("key").distinct(), "key", "left_anti")
-    near = fallback(lone, index, scorer).join(index.variants.withColumnRenamed("key", "variant"), "variant").select("key", "master_id", F.lit(False).alias("only_parent"))
-    return pool.select("key", "master_id", "only_parent").union(near).groupBy("key", "master_id").agg(F.min("only_parent").alias("only_parent"))
+def named_parents(p: DataFrame, index: I.Index, dim: DataFrame, rules: RuleSet) -> DataFrame:
+    """(key, master_id) of records that an input with a parent marker names as its parent. All words of a parent's identity are in the input, so its
+    rarest one is joined."""
+    if not rules.parent_markers:
+        return p.select("key", F.lit(None).cast("long").alias("master_id")).limit(0)
+    marked = p.where(F.arrays_overlap("p_words", X.arr(rules.parent_markers)))
+    pairs = marked.select("key", F.explode(X.meaningful_tokens(F.col("p_input"), rules)).alias("k")).join(index.heads, "k").select("key", "master_id").distinct()
+    return _unconflicted(pairs, marked, dim).where(~F.col("conflict") & S.parent_score(rules).isNotNull()).select("key", "master_id")
+
+
+def word_pairs(p: DataFrame, index: I.Index) -> DataFrame:
+    """(key, master_id) of all pairs that may share enough name tokens for a literal identity, by their rarest tokens."""
+    mine = I.by_rarity(p, "key", "p_tokens", index.words)
+    return mine.select("key", F.explode(I.prefix(F.col("p_tokens"))).alias("k")).join(index.rare, "k").select("key", "master_id").distinct()
+
+
+def ranking_pool(rest: DataFrame, index: I.Index, dim: DataFrame, rules: RuleSet, scorer: str) -> tuple[DataFrame, DataFrame]:
+    """(key, master_id, by_words) of the candidates that can score above zero, and the keys that have any candidate by words, acronyms or parents. The
+    other keys get the candidates of the fuzzy fallback."""
+    parents = L.cut(named_parents(rest, index, dim, rules))
+    acronyms = rest.select("key", F.explode("p_inits").alias("k")).join(index.acronyms.withColumnRenamed("key", "k"), "k").select("key", "master_id")
+    known = lambda keys, t: rest.select("key", F.explode(keys).alias("k")).join(t.select(F.col("key").alias("k")).distinct(), "k", "left_semi").select("key")
+    touched = L.cut(known("p_tokens", index.tokens).union(known("p_inits", index.acronyms)).union(parents.select("key")).distinct())
+    lone = rest.where("p_input <> ''").join(touched, "key", "left_anti")
+    near = L.cut(fallback(lone, index, scorer).join(index.variants.withColumnRenamed("key", "variant"), "variant").select("key", "master_id"))
+    sure = acronyms.union(parents).union(near).withColumn("by_words", F.lit(False))
+    pool = sure.union(word_pairs(rest, index).withColumn("by_words", F.lit(True))).groupBy("key", "master_id").agg(F.min("by_words").alias("by_words"))
+    return pool, touched.union(near.select("key")).distinct()
+
+
+def _anything_near(rest: DataFrame, touched: DataFrame, index: I.Index, dim: DataFrame, rules: RuleSet, scorer: str) -> DataFrame:
+    """Keys with some candidate, be its score zero, that doesn't lie elsewhere. Only where no record lies in the input's location are pairs looked at."""
+    settled = rest.where("p_loc <> ''").join(index.locations.select(F.col("key").alias("p_loc")).distinct(), "p_loc", "left_semi").select("key")
+    free = rest.where("loc = ''").join(touched, "key", "left_semi").select("key")
+    odd = rest.where("loc <> ''").join(settled, "key", "left_anti").join(touched, "key", "left_semi")
+    pairs = candidates(odd, index, rules).select("key", "master_id")
+    return settled.union(free).union(_unconflicted(pairs, odd.select("key", "loc", "ctx_inits"), dim).where("not conflict").select("key")).distinct()
 
 
 def _say(df: DataFrame, rule: int, decision: str, confidence: float, reason: str) -> DataFrame:
@@ -142,16 +173,16 @@ def match(master: DataFrame, inputs: DataFrame, rules: RuleSet = INSTITUTIONS, s
     early = L.cut(early)
     progress(3, 4, "Exact rules applied")
     rest = L.cut(p.join(early.select("key"), "key", "left_anti"))
-    pool = L.cut(ranking_pool(rest, index, rules, scorer))
+    pool, touched = ranking_pool(rest, index, dim, rules, scorer)
     ranked = rank(S.scored(pool.join(rest, "key").join(dim, "master_id"), rules, scorer), top)
     ranked = _unconflicted(ranked, rest.select("key", "loc", "ctx_inits"), dim).where("not conflict")
     ranked = L.cut(ranked.select("key", "master_id", "rank", "confidence", "overlap", "reason", "loc", "r_name", "r_city", "r_state", "category"))
     late = L.cut(decide(ranked, rules))
     progress(4, 4, "Candidates ranked")
     # what is left had candidates that all score zero, unless nothing was found or all of it lies elsewhere
-    seen = _unconflicted(pool.select("key", "master_id"), rest.select("key", "loc", "ctx_inits"), dim).where("not conflict").select("key")
-    seen = seen.union(rest.where("p_loc <> ''").join(index.locations.select(F.col("key").alias("p_loc")).distinct(), "p_loc").select("key")).distinct().withColumn("some", F.lit(True))
-    empty = rest.join(late.select("key"), "key", "left_anti").join(seen, "key", "left")
+    left = rest.join(late.select("key"), "key", "left_anti")
+    seen = _anything_near(left, touched, index, dim, rules, scorer).withColumn("some", F.lit(True))
+    empty = left.join(seen, "key", "left")
     empty = empty.select("key", F.lit(13).alias("rule"), F.lit(None).cast("long").alias("master_id"), F.lit("NOT_FOUND").alias("decision"), F.lit(0.0).alias("confidence"), F.when(F.col("some") & (F.col("p_input") != ""), "No credible master match").otherwise("No master candidate found").alias("reason"), _no_candidates().alias("candidates"))
     done = early.withColumn("candidates", _no_candidates()).unionByName(late).unionByName(empty)
     out = p.select("key", "name", "clean", "city", "state").join(done, "key").join(dim.select("master_id", "r_name"), "master_id", "left")

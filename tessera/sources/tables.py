@@ -65,21 +65,28 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def _first_sheet(z: zipfile.ZipFile) -> tuple[str, str]:
-    """The part that holds the workbook's first sheet, and that sheet's name."""
-    first = ET.fromstring(z.read("xl/workbook.xml")).find(f"{_NS}sheets")[0]
-    wanted = next((v for k, v in first.attrib.items() if k.endswith("}id")), None)
-    for rel in ET.fromstring(z.read("xl/_rels/workbook.xml.rels")):
-        if rel.get("Id") == wanted:
-            target = rel.get("Target")
-            return target.lstrip("/") if target.startswith("/") else f"xl/{target}", first.get("name")
-    raise ValueError("The workbook names no part for its first sheet")
+def _sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """Name and part of each sheet, in the workbook's order."""
+    parts = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    out = []
+    for sheet in ET.fromstring(z.read("xl/workbook.xml")).find(f"{_NS}sheets"):
+        target = parts[next(v for k, v in sheet.attrib.items() if k.endswith("}id"))]
+        out.append((sheet.get("name"), target.lstrip("/") if target.startswith("/") else f"xl/{target}"))
+    return out
+
+
+def sheet_part(z: zipfile.ZipFile, name: str) -> str:
+    """The part that holds a sheet; a sheet that is not there is an error."""
+    for own, part in _sheets(z):
+        if own == name:
+            return part
+    raise ValueError(f"Worksheet not found: {name}")
 
 
 def parse_workbook(data: bytes) -> tuple[list[list[str | None]], str]:
     """Rows of the first sheet, and its name."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        sheet, name = _first_sheet(z)
+        name, sheet = _sheets(z)[0]
         strings = []
         if "xl/sharedStrings.xml" in z.namelist():
             strings = ["".join(t.text or "" for t in si.iter(f"{_NS}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml"))]
