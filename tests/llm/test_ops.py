@@ -180,9 +180,18 @@ def test_licenses(spark, docs):
         if r.doc_id is not None:
             g = by[r.doc_id]
             assert (g.n_words, g.n_base, g.base_labels) == (len(w), len(hits), ",".join(sorted({x for _, x in hits})))
+            places = [i for i, _ in hits]
+            assert [None if x != x else x for x in (g.first_word, g.last_word)] == ([min(places), max(places)] if places else [None, None])
     text = "x " * 30 + "Permission is hereby granted, free of charge, to any person getting a copy of this software and its associated documentation files"
     found = op2_licenses.license_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert (found.base_labels, found.labels) == ("", "mit")
+    base, spans = op2_licenses.scan_licenses(spark.createDataFrame([(1, text), (2, text + " and more"), (2, text + " and more")], "doc_id long, text string"))
+    assert {(r.doc_id, r.label, r.first, r.last) for r in spans.collect()} == {(1, "mit", 30, 49), (2, "mit", 30, 49)} and base.count() == 3
+    # every fifth word changed: one run of four words is all that is left, and is enough
+    notice = next(t for label, t in op2_licenses.TEMPLATES if label == "isc").split()
+    changed = " ".join("other" if k % 5 == 4 else w for k, w in enumerate(notice))
+    unlike = " ".join("other" if k % 3 == 2 else w for k, w in enumerate(notice))
+    assert [r.labels for r in op2_licenses.license_report(spark.createDataFrame([(1, changed), (2, unlike)], "doc_id long, text string")).orderBy("doc_id").collect()] == ["isc", ""]
     assert op2_licenses.license_report(empty(spark)).count() == 0
 
 
@@ -262,6 +271,81 @@ def test_language_and_quality(spark, docs):
     assert op9_quality.score_documents(docs, None).count() == docs.count()
 
 
+def test_bpe_of_a_whole_table(spark):
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=op8_bpe.read_ranks(path), special_tokens={})
+    docs = spark.read.parquet(f"{DIR.replace('0.001', '0.01')}/documents.parquet")
+    got = sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in op8_bpe.bpe_round_trip(docs, path).collect())
+    want = []
+    for r in docs.collect():
+        ids = enc.encode_ordinary(r.text or "")
+        want.append((r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
+    assert got == sorted(want)
+
+
+def test_language_against_whole_vectors(spark):
+    """Documents' vectors built one n-gram at a time, compared with the prototypes by the cosine itself."""
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, codes, scores = op7_language.learn(df.select("lang", "text"))
+    vectors = lambda c: op7_language.gram_vectors(c, op7_language.N, op7_language.DIMENSIONS)
+
+    def bundle(text):
+        _, code, count = op7_language.ngrams([text or ""], op7_language.N)
+        return count @ vectors(code) if len(code) else np.zeros(op7_language.DIMENSIONS)
+
+    made = {i: bundle(t) for i, t, _ in rows}
+    # prototypes from the n-grams' scores: scores = vectors @ prototypes
+    proto = np.linalg.lstsq(vectors(codes).astype(float), scores, rcond=None)[0] if len(codes) >= op7_language.DIMENSIONS else None
+    assert proto is not None and np.allclose(vectors(codes) @ proto, scores, atol=1e-6)
+    got = {r.doc_id: r.lang_pred for r in op7_language.predict(df, (langs, codes, scores)).collect()}
+    for i, t, _ in rows:
+        norm = np.linalg.norm(made[i])
+        if not (t or "").strip() or not norm:
+            assert got[i] == "und"
+            continue
+        cos = made[i] @ proto / norm / np.linalg.norm(proto, axis=0)
+        best = np.sort(cos)[::-1]
+        assert got[i] == langs[int(cos.argmax())] or best[0] - best[1] < 1e-3
+
+
+def test_quality_features_of_one_text_at_a_time():
+    """Shares counted in plain Python, alone and in company."""
+    texts = ["", "   ", "One TWO two two $$$ 12 x.", "a b\n\nc C c", "ÄÖ été 漢字 <<<>>> #1", "THE END"]
+    got = op9_quality.text_features(texts)
+    assert np.allclose(got, np.concatenate([op9_quality.text_features([t]) for t in texts]))
+    for t, x in zip(texts, got):
+        data = t.encode() + b"\n"
+        words = re.split(rb"[\x09-\x0d\x20]+", t.encode())
+        words = [w for w in words if w]
+        n = max(1, len(words))
+        letters = lambda w: sum(chr(b).isalpha() and b < 128 or b >= 128 for b in w)
+        upper = lambda w: sum(65 <= b <= 90 for b in w)
+        marks = set(b".,;:'\"()?-")
+        symbol = lambda w: sum(33 <= b < 127 and not chr(b).isalnum() and b not in marks for b in w)
+        assert x[0] == pytest.approx(sum(upper(w) >= 2 and upper(w) == letters(w) or upper(w) >= 3 for w in words) / n)
+        assert x[1] == pytest.approx(sum(symbol(w) > 0 for w in words) / n) and x[3] == pytest.approx(sum(symbol(w) >= 3 for w in words) / n)
+        assert x[4] == pytest.approx(sum(a == b for a, b in zip(words, words[1:])) / n) and x[5] == pytest.approx(len({*words}) / n)
+        assert x[7] == pytest.approx(symbol(data) / len(data)) and x[9] == pytest.approx(sum(48 <= b < 58 for b in data) / len(data))
+        assert x[11] == pytest.approx(sum(map(len, words)) / n / 10) and x[13] == pytest.approx(np.log1p(len(words)) / 5)
+
+
+def test_quality_in_spark_is_quality_in_python(spark):
+    """Scores of a table are those of its rows one by one; co-training sees every unlabelled document and doesn't depend on how rows are dealt."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    labels = spark.read.parquet(f"{DIR}/labels.parquet").where("doc_id % 2 = 0")
+    model = op9_quality.fit(docs, labels)
+    again = op9_quality.fit(docs.repartition(7), labels.repartition(3))
+    rows = docs.collect()
+    for r, g in zip(sorted(rows, key=lambda r: r.doc_id), op9_quality.score_documents(docs, model).orderBy("doc_id").collect()):
+        text, meta = op9_quality.text_features([r.text or ""]), op9_quality.meta_features([r.source], [r.lang], [r.n_chars])
+        assert [g.text_score, g.meta_score, g.quality_score] == pytest.approx(op9_quality.score(model, text, meta)[0].tolist())
+        assert op9_quality.score(again, text, meta)[0] == pytest.approx(op9_quality.score(model, text, meta)[0], abs=1e-6)
+
+
 KEY = b"a key of the tests"
 
 
