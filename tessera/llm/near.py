@@ -1,8 +1,10 @@
-"""Near-duplicate groups by the Jaccard similarity of five-word shingles.
+"""Near-duplicate groups by the Jaccard similarity of five-word shingles: op10 with exact verification, for the pipeline.
 
-Texts of equal shingle sets are one node. MinHash bands bring nodes together; of nodes that share a band, those whose sketches agree in LEAST_ALIKE of
-their values are linked, and within the components of these links every pair is compared exactly on its shingles (as 64-bit hashes) unless it is
-connected already. Sketches only choose what is compared: at similarity 0.8 all bands miss a pair with probability (1 - 0.8 ** ROWS) ** BANDS = 3e-6.
+Texts of equal shingle sets are one node. Candidates come from SimHash (op10): nodes whose fingerprints over five-word shingles lie within its radius are
+linked by its segment-popcount range join. That finds few of the pairs at similarity 0.8, whose fingerprints are 10 of 64 bits apart on average, so
+MinHash bands complete it: of nodes that share a band, those whose sketches agree in LEAST_ALIKE of their values are linked too. Within the components of
+these links every pair is compared exactly on its shingles (as 64-bit hashes) unless it is connected already. Fingerprints and sketches only choose what
+is compared: at similarity 0.8 all bands miss a pair with probability (1 - 0.8 ** ROWS) ** BANDS = 3e-6.
 
 Words are runs of letters, digits and underscores, in lower case. A text of fewer words than a shingle is one shingle; one without words is its
 other tokens. Null and empty texts are alike. Rows without a doc_id take no part.
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .buckets import compare, components
 from .common import cut, drop, ship, texts_of
+from .op10_simhash import groups_for, near_fingerprints
 
 #: Words of a shingle; least similarity as a fraction.
 WORDS, OVER, UNDER = 5, 4, 5
@@ -73,21 +76,41 @@ def sketch(hashes: np.ndarray) -> bytes:
     return key.astype("<u8").tobytes() + (low & np.uint64(255)).astype(np.uint8).tobytes()
 
 
+def simhash(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of shingles: a bit is set if it is in over half of their hashes."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 8192):
+        ones += np.unpackbits(hashes[k : k + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node and sketch of each row."""
+    """doc_id, node, sketch and fingerprint of each row."""
     ship(docs.sparkSession)
-    kinds = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary())])
+    kinds = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()), ("fp", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            node, made = [], []
+            node, made, prints = [], [], []
             for t in texts_of(batch.column(1)):
                 h = shingles(t)
                 node.append(node_of(h))
                 made.append(sketch(h))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(made, pa.binary())], schema=kinds)
+                prints.append(simhash(h))
+            node, prints = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, prints))
+            yield pa.RecordBatch.from_arrays([batch.column(0), node, pa.array(made, pa.binary()), prints], schema=kinds)
+
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, sketch binary, fp long")
+
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, sketch binary")
+def close_prints(distinct: DataFrame) -> DataFrame:
+    """node and least of nodes (node, fp) whose fingerprints are equal or within op10's radius; one node stands for all of a fingerprint."""
+    prints = cut(distinct.groupBy("fp").agg(F.min("node").alias("head")))
+    found = near_fingerprints(prints.select(F.col("fp").alias("node"), F.lit(1).cast("long").alias("weight")), groups=groups_for(prints.count()))
+    ends = [prints.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head")) for c in ("node", "least")]
+    apart = found.select("node", "least").distinct().join(ends[0].hint("shuffle_hash"), "node").join(ends[1].hint("shuffle_hash"), "least").select(F.col("node_head").alias("node"), F.col("least_head").alias("least"))
+    same = distinct.select("node", "fp").join(prints.hint("shuffle_hash"), "fp").where("node <> head").select("node", F.col("head").alias("least"))
+    return apart.union(same)
 
 
 def alike(distinct: DataFrame) -> DataFrame:
@@ -155,8 +178,8 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     """doc_id and component_id (the smallest doc_id of its group) of each row with a doc_id."""
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     rows = cut(sketches(docs))
-    distinct = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch")))
-    near = components(alike(distinct))
+    distinct = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp")))
+    near = components(alike(distinct).union(close_prints(distinct)))
     near = near.union(near.select("root", "root").distinct())
     members = cut(distinct.select("node", "first").join(near.hint("shuffle_hash"), "node"))
     roots = components(verified(docs, members))
