@@ -123,15 +123,17 @@ def covered(shared: str, whole: str) -> str:
     return f"CASE WHEN len({whole}) = 0 THEN 0.0::DOUBLE ELSE len({shared})::DOUBLE / len({whole}) END"
 
 
-def ratios(pairs: str) -> str:
-    """Tables up to ratio(a, b, r): 200 times the longest common subsequence over both lengths, of all pairs (a, b); texts of up to 120 characters."""
-    return f"""ab AS MATERIALIZED (SELECT DISTINCT a, b FROM ({pairs})),
- ab1 AS MATERIALIZED (SELECT a, b, (1::HUGEINT << length(a)::INT) - 1 AS whole, list_transform(string_split(b, ''), lambda c: coalesce(list_sum(list_transform(range(1, length(a) + 1), lambda i: CASE WHEN a[i] = c THEN 1::HUGEINT << (i - 1)::INT ELSE 0::HUGEINT END)), 0)::HUGEINT) AS masks FROM ab WHERE a <> '' AND b <> ''),
- ratio AS MATERIALIZED (SELECT a, b, 200.0::DOUBLE * (length(a) - bit_count(list_reduce([whole] || masks, lambda v, m: ((v + (v & m)) | (v - (v & m))) & whole))) / (length(a) + length(b)) AS r FROM ab1 UNION ALL SELECT a, b, CASE WHEN a = b THEN 100.0 ELSE 0.0 END FROM ab WHERE a = '' OR b = '')"""
+def ratios(name: str, pairs: str) -> str:
+    """Tables up to name(a, b, r): 200 times the longest common subsequence over both lengths, of all pairs (a, b); texts of up to 120 characters."""
+    ab = f"{name}_pairs"
+    return f"""{ab} AS MATERIALIZED (SELECT DISTINCT a, b FROM ({pairs})),
+ {ab}1 AS MATERIALIZED (SELECT a, b, (1::HUGEINT << length(a)::INT) - 1 AS whole, list_transform(string_split(b, ''), lambda c: coalesce(list_sum(list_transform(range(1, length(a) + 1), lambda i: CASE WHEN a[i] = c THEN 1::HUGEINT << (i - 1)::INT ELSE 0::HUGEINT END)), 0)::HUGEINT) AS masks FROM {ab} WHERE a <> '' AND b <> ''),
+ {name} AS MATERIALIZED (SELECT a, b, 200.0::DOUBLE * (length(a) - bit_count(list_reduce([whole] || masks, lambda v, m: ((v + (v & m)) | (v - (v & m))) & whole))) / (length(a) + length(b)) AS r FROM {ab}1 UNION ALL SELECT a, b, CASE WHEN a = b THEN 100.0 ELSE 0.0 END FROM {ab} WHERE a = '' OR b = '')"""
 
 
-def tables(rules: RuleSet = INSTITUTIONS) -> str:
-    """The WITH clause (without the word) up to decisions(match_key, ...)."""
+def tables(rules: RuleSet = INSTITUTIONS, given: str = "", target: str = "") -> str:
+    """The WITH clause (without the word) up to decisions(match_key, ...), of the fixture or of a master (master_id, name, city, state, short_form,
+    category, rn) and a target (row_id, name, city, state) given as queries."""
     n, canon = lambda x: norm(x, rules), lambda x: looked_up(rules.aliases, x)
     ident, meaning = lambda x: distinct_words(x, rules.identity_noise), lambda x: distinct_words(x, rules.generic)
     match = lambda x: joined(without(x, rules.match_noise))
@@ -140,8 +142,8 @@ def tables(rules: RuleSet = INSTITUTIONS) -> str:
     parts = []
     add = parts.append
     supplement = values([(*r, 1 << 40) for r in rules.supplement], "master_id, name, city, state, short_form, category, rn") if rules.supplement else "(SELECT * FROM given LIMIT 0)"
-    add(f"given AS {values(fixtures.master_rows(), 'master_id, name, city, state, short_form, category, rn')}")
-    add(f"target AS {values(fixtures.target_rows(), 'row_id, name, city, state, note')}")
+    add(f"given AS {f'({given})' if given else values(fixtures.master_rows(), 'master_id, name, city, state, short_form, category, rn')}")
+    add(f"target AS {f'({target})' if target else values(fixtures.target_rows(), 'row_id, name, city, state, note')}")
     add(f"m0 AS MATERIALIZED (SELECT * FROM given UNION ALL SELECT * FROM {supplement} WHERE master_id NOT IN (SELECT master_id FROM given))")
     add(f"m1 AS MATERIALIZED (SELECT *, {n('name')} AS clean_name, {n(chr(40) + 'regexp_replace(name, ' + text(chr(92) + 's*-?' + chr(92) + 's*' + chr(92) + '[[^' + chr(92) + ']]+' + chr(92) + ']') + ', ' + text(' ') + ', ' + text('g') + '))')} AS base_name, {n('short_form')} AS clean_short, {n('city')} AS raw_city FROM m0)")
     add(f"m2 AS MATERIALIZED (SELECT *, {canon('raw_city')} AS clean_city, {match('clean_name')} AS match_name, {match('base_name')} AS match_base, {match('clean_short')} AS match_short, list_filter(list_transform(regexp_extract_all(name, '\\[([^\\]]+)\\]', 1), lambda a: replace({n('a')}, ' ', '')), lambda a: a <> '') AS bracket, list_filter(list_transform(regexp_extract_all(short_form, '\\b[A-Z][A-Z0-9]+\\b'), lambda a: lower(a)), lambda a: length(a) <= 12 AND NOT list_contains({lst(noise)}, a)) AS upper_words, array_to_string(list_filter({toks('base_name')}, lambda w: NOT list_contains({toks('raw_city')}, w)), ' ') AS bare FROM m1)")
@@ -183,7 +185,8 @@ def tables(rules: RuleSet = INSTITUTIONS) -> str:
     add(f"p AS MATERIALIZED (SELECT *, {initialisms('p_bare', rules)} AS p_inits, {initialisms('p_input', rules)} AS all_inits, {ident('p_bare')} AS mine, {meaning('p_input')} AS meaning, {domains('p_bare', rules)} AS p_domain, list_distinct(list_filter({toks('p_bare')}, lambda w: list_contains({lst(rules.delivery)}, w))) AS p_delivery FROM p2)")
     sole = lambda inits, place: f"({overlap(f'list_intersect({inits}, acronym_keys)', 'unique_keys')} OR ({place} <> '' AND {overlap(f'list_transform(list_intersect({inits}, acronym_keys), lambda a: a || chr(124) || {place})', 'city_keys')}))"
     away = lambda place: f"({place} <> '' AND len(cities) > 0 AND NOT list_contains(cities, {place}))"
-    add(f"conflicts AS MATERIALIZED (SELECT match_key, master_id, {away('loc')} AND NOT {sole('ctx_inits', 'loc')} AS conflict FROM p, r)")
+    conflict = f"({away('loc')} AND NOT {sole('ctx_inits', 'loc')})"
+    paired = lambda source: f"{source} JOIN p USING (match_key) JOIN r USING (master_id)"
 
     # rules 1 to 9
     say = lambda rule, decision, confidence, reason, source: f"SELECT match_key, {rule} AS rule, master_id, '{decision}' AS decision, {confidence}::DOUBLE AS confidence, {text(reason)} AS reason FROM ({source})"
@@ -192,7 +195,7 @@ def tables(rules: RuleSet = INSTITUTIONS) -> str:
     for rule, alias, decision, confidence, reason in ((2, rules.verified, "FOUND", 100, "Verified exact business alias"), (3, rules.verified_review, "NEEDS_REVIEW", 92, "Explicit parent institution suggested; exact sub-unit record is absent from the master")):
         if alias:
             own = f"SELECT match_key, {lst(alias.values())}[coalesce(nullif(list_position({lst(alias)}, clean), 0), list_position({lst(alias)}, context))]::BIGINT AS master_id FROM p"
-            early.append(say(rule, decision, confidence, reason, f"SELECT match_key, master_id FROM ({own}) JOIN conflicts USING (match_key, master_id) WHERE NOT conflict"))
+            early.append(say(rule, decision, confidence, reason, f"SELECT match_key, master_id FROM {paired(f'({own})')} WHERE NOT {conflict}"))
     for word, start, lacks, category in rules.brands:
         own = f"SELECT match_key, master_id FROM p JOIN places ON key = loc JOIN r USING (master_id) WHERE loc <> '' AND list_contains({toks('clean')}, '{word}') AND starts_with(base_name, '{start}') AND NOT {overlap(toks('base_name'), lst(lacks))} AND lower(category) = '{category}'"
         early.append(say(4, "FOUND", 98, f"{word.capitalize()} parent university and campus city confirmed", only(own)))
@@ -204,9 +207,10 @@ def tables(rules: RuleSet = INSTITUTIONS) -> str:
     early.append(say(5, "FOUND", 99, "National institution acronym and city confirmed", only("SELECT * FROM system_ids")))
     add(f"""hits AS MATERIALIZED (SELECT DISTINCT match_key, master_id FROM (SELECT match_key, master_id, 1 AS tier FROM p JOIN variants ON key = raw_id UNION ALL SELECT match_key, master_id, 2 FROM p JOIN variants ON key = identity
  UNION ALL SELECT match_key, master_id, 3 FROM p JOIN fingerprints ON key = {joined(f'list_sort({toks("identity")})')} AND identity <> '') QUALIFY tier = min(tier) OVER (PARTITION BY match_key))""")
-    add("lone_conflicts AS MATERIALIZED (SELECT match_key, min(master_id) AS master_id FROM hits JOIN conflicts USING (match_key, master_id) GROUP BY match_key HAVING count(*) = 1 AND bool_and(conflict))")
+    add(f"hit_conflicts AS MATERIALIZED (SELECT match_key, master_id, {conflict} AS conflict, identity IN (clean_name, base_name, match_name, match_base) AS is_literal, clean_short = identity AS spelt FROM {paired('hits')})")
+    add("lone_conflicts AS MATERIALIZED (SELECT match_key, min(master_id) AS master_id FROM hit_conflicts GROUP BY match_key HAVING count(*) = 1 AND bool_and(conflict))")
     early.append(say(7, "NEEDS_REVIEW", 70, "Unique institution name; input city differs from the master city and requires verification", "SELECT * FROM lone_conflicts"))
-    add("""literal AS MATERIALIZED (SELECT match_key, master_id, identity IN (clean_name, base_name, match_name, match_base) AS is_literal, clean_short = identity AS spelt FROM hits JOIN conflicts USING (match_key, master_id) JOIN p USING (match_key) JOIN r USING (master_id) WHERE NOT conflict)""")
+    add("literal AS MATERIALIZED (SELECT * FROM hit_conflicts WHERE NOT conflict)")
     add("preferred AS MATERIALIZED (SELECT * FROM literal QUALIFY is_literal OR NOT bool_or(is_literal) OVER (PARTITION BY match_key))")
     add("exact_ids AS MATERIALIZED (SELECT match_key, master_id FROM preferred QUALIFY spelt OR count(*) FILTER (spelt) OVER (PARTITION BY match_key) <> 1 OR count(*) OVER (PARTITION BY match_key) = 1)")
     early.append(say(8, "FOUND", 100, "Unique exact master match", only("SELECT * FROM exact_ids")))
@@ -214,7 +218,7 @@ def tables(rules: RuleSet = INSTITUTIONS) -> str:
     add(f"""seg_ids AS MATERIALIZED (SELECT match_key, seg, raw, loc, master_id FROM named JOIN variants ON key = seg WHERE seg <> ''
  UNION SELECT match_key, seg, raw, loc, master_id FROM (SELECT *, unnest(list_transform(regexp_extract_all(raw, '\\b[A-Z][A-Z0-9]{{2,}}\\b'), lambda a: lower(a))) AS a FROM named WHERE seg <> '') JOIN acronyms ON key = a)""")
     add(f"""seg_all AS MATERIALIZED (SELECT match_key, master_id FROM seg_ids UNION SELECT match_key, v.master_id FROM named n JOIN variants v ON v.key = trim(seg || ' ' || loc) WHERE loc <> '' AND seg <> '' AND ({overlap(toks('seg'), anchors)} OR EXISTS (SELECT 1 FROM seg_ids s WHERE s.match_key = n.match_key AND s.raw = n.raw)))""")
-    early.append(say(9, "NEEDS_REVIEW", 92, "Explicit parent institution confirmed; specialised sub-unit has no unique exact master record", only("SELECT match_key, master_id FROM seg_all JOIN conflicts USING (match_key, master_id) WHERE NOT conflict")))
+    early.append(say(9, "NEEDS_REVIEW", 92, "Explicit parent institution confirmed; specialised sub-unit has no unique exact master record", only(f"SELECT match_key, master_id FROM {paired('seg_all')} WHERE NOT {conflict}")))
     add(f"proposed AS MATERIALIZED ({' UNION ALL '.join(early)})")
     add("early AS MATERIALIZED (SELECT * FROM proposed QUALIFY row_number() OVER (PARTITION BY match_key ORDER BY rule, master_id) = 1)")
     add("rest AS MATERIALIZED (SELECT * FROM p WHERE match_key NOT IN (SELECT match_key FROM early))")
@@ -230,34 +234,34 @@ def tables(rules: RuleSet = INSTITUTIONS) -> str:
     specific = f"greatest(CASE WHEN {by_base} THEN len(ident_base) ELSE 0 END, CASE WHEN {by_short} THEN len(ident_short) ELSE 0 END)"
     bonus = f"CASE WHEN list_contains(short_acronyms, {words}[1]) THEN 0.8 ELSE 0.0 END"
     accepted = "(p_loc = '' OR len(cities) = 0 OR list_contains(cities, p_loc))"
-    add(f"""parents AS MATERIALIZED (SELECT match_key, master_id, CASE WHEN p_loc <> '' AND list_contains(cities, p_loc) THEN least(100.0::DOUBLE, 98.0::DOUBLE + {specific} * 0.4::DOUBLE + {bonus}::DOUBLE) ELSE least(99.0::DOUBLE, 96.0::DOUBLE + {specific} * 0.4::DOUBLE + {bonus}::DOUBLE) END AS parent_score FROM p, r
+    add(f"""parents AS MATERIALIZED (SELECT match_key, master_id, CASE WHEN p_loc <> '' AND list_contains(cities, p_loc) THEN least(100.0::DOUBLE, 98.0::DOUBLE + {specific} * 0.4::DOUBLE + {bonus}::DOUBLE) ELSE least(99.0::DOUBLE, 96.0::DOUBLE + {specific} * 0.4::DOUBLE + {bonus}::DOUBLE) END AS parent_score, {conflict} AS conflict FROM p, r
  WHERE {overlap(words, lst(rules.parent_markers))} AND NOT ({overlap(base, subs)} AND NOT {overlap(words, subs)}) AND {valid} AND ({by_base} OR {by_short}) AND {accepted})""")
     add("""pool0 AS MATERIALIZED (SELECT match_key, master_id FROM (SELECT match_key, unnest(mine) AS key FROM p) JOIN tokens USING (key) UNION SELECT match_key, master_id FROM (SELECT match_key, unnest(p_inits) AS key FROM p) JOIN acronyms USING (key)
- UNION SELECT match_key, master_id FROM parents JOIN (SELECT DISTINCT match_key, master_id FROM (SELECT match_key, unnest(meaning) AS key FROM p) JOIN tokens USING (key)) USING (match_key, master_id) JOIN conflicts USING (match_key, master_id) WHERE NOT conflict)""")
+ UNION SELECT match_key, master_id FROM parents JOIN (SELECT DISTINCT match_key, master_id FROM (SELECT match_key, unnest(meaning) AS key FROM p) JOIN tokens USING (key)) USING (match_key, master_id) WHERE NOT conflict)""")
     add(f"""lone AS MATERIALIZED (SELECT match_key, p_input FROM rest WHERE p_input <> '' AND match_key NOT IN (SELECT match_key FROM pool0))""")
     add(f"fuzzy_pairs AS MATERIALIZED (SELECT match_key, p_input, key AS variant FROM lone, (SELECT DISTINCT key FROM variants) WHERE {overlap(toks('p_input'), toks('key'))})")
     cand = "list_distinct(list_filter(list_concat([clean_name, base_name, clean_short], abbreviations), lambda v: v <> ''))"
     distinct_sorted = lambda x: joined(f"list_sort(list_distinct({toks(x)}))")
     in_order = lambda x: joined(f"list_sort({toks(x)})")
-    add("fuzzy_ab AS MATERIALIZED (SELECT DISTINCT p_input AS a, variant AS b FROM fuzzy_pairs)")
-    add(f"gated AS MATERIALIZED (SELECT p.*, r.* EXCLUDE (name, city, state), r.name AS r_name, {away('p_loc')} AS away, {sole('all_inits', 'p_loc')} AS sole, p_loc <> '' AND list_contains(cities, p_loc) AS same_city, list_intersect(mine, name_tokens) AS shared, list_intersect(p_inits, acronym_keys) AS shared_acr, len(delivery) > 0 AND list_sort(delivery) <> list_sort(p_delivery) AS delivery_conflict, len(p_domain) > 0 AND len(domain) > 0 AND NOT {overlap('p_domain', 'domain')} AS domain_conflict FROM p, r WHERE p_input <> '')")
-    pairs = f"SELECT match_key, master_id, p_input, p_bare, unnest({cand}) AS v FROM gated WHERE len(shared) > 0 OR len(shared_acr) > 0"
-    add(f"compared AS MATERIALIZED ({pairs})")
-    add(f"four AS MATERIALIZED (SELECT match_key, master_id, p_input AS a, v AS b FROM compared UNION SELECT match_key, master_id, p_bare, v FROM compared UNION SELECT match_key, master_id, {distinct_sorted('p_bare')}, {distinct_sorted('v')} FROM compared UNION SELECT match_key, master_id, {in_order('p_bare')}, {in_order('v')} FROM compared)")
-    add(ratios("SELECT a, b FROM four UNION SELECT a, b FROM fuzzy_ab"))
-    add("lexical AS MATERIALIZED (SELECT match_key, master_id, max(r) AS lexical FROM four JOIN ratio USING (a, b) GROUP BY 1, 2)")
-    add("fuzzy AS MATERIALIZED (SELECT match_key, variant, r, row_number() OVER (PARTITION BY match_key ORDER BY r DESC, variant) AS rank FROM fuzzy_pairs JOIN ratio ON a = p_input AND b = variant WHERE r >= 25 QUALIFY rank <= 100)")
+    add(ratios("near_ratio", "SELECT p_input AS a, variant AS b FROM fuzzy_pairs"))
+    add("fuzzy AS MATERIALIZED (SELECT match_key, variant, r, row_number() OVER (PARTITION BY match_key ORDER BY r DESC, variant) AS rank FROM fuzzy_pairs JOIN near_ratio ON a = p_input AND b = variant WHERE r >= 25 QUALIFY rank <= 100)")
     add("pool AS MATERIALIZED (SELECT * FROM pool0 UNION SELECT match_key, master_id FROM fuzzy JOIN variants ON key = variant UNION SELECT match_key, master_id FROM p JOIN places ON key = p_loc WHERE p_loc <> '' AND p_input <> '')")
+    add(f"gated AS MATERIALIZED (SELECT p.*, r.* EXCLUDE (name, city, state), r.name AS r_name, {conflict} AS conflict, {away('p_loc')} AS away, {sole('all_inits', 'p_loc')} AS sole, p_loc <> '' AND list_contains(cities, p_loc) AS same_city, list_intersect(mine, name_tokens) AS shared, list_intersect(p_inits, acronym_keys) AS shared_acr, len(delivery) > 0 AND list_sort(delivery) <> list_sort(p_delivery) AS delivery_conflict, len(p_domain) > 0 AND len(domain) > 0 AND NOT {overlap('p_domain', 'domain')} AS domain_conflict FROM {paired('pool')} WHERE p_input <> '')")
     literal = toks("p_bare")
     trusted = f"list_filter(shared_acr, lambda a: list_contains({literal}, a) OR coalesce(length({literal}[1]) BETWEEN 2 AND 5 AND starts_with(a, {literal}[1]), false) OR length(a) >= 5)"
     ordered = f"list_filter({without('p_bare', rules.identity_noise)}, lambda w: length(w) > 1)"
     shares = ", ".join(f"least({covered(f'list_intersect(mine, {ident(c)})', 'mine')}, {covered(f'list_intersect(mine, {ident(c)})', ident(c))})" for c in ("clean_name", "base_name", "clean_short"))
-    add(f"measured AS MATERIALIZED (SELECT *, {trusted} AS trusted, CASE WHEN len({ordered}) >= 2 THEN substr({ordered}[1], 1, 1) || substr({ordered}[2], 1, 1) ELSE '' END AS two, {covered('shared', 'mine')} AS cov_in, {covered('shared', 'name_tokens')} AS cov_rec, greatest(CASE WHEN len(shared_acr) > 0 THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END, {shares}) AS overlap FROM gated JOIN pool USING (match_key, master_id))")
+    add(f"measured AS MATERIALIZED (SELECT *, {trusted} AS trusted, CASE WHEN len({ordered}) >= 2 THEN substr({ordered}[1], 1, 1) || substr({ordered}[2], 1, 1) ELSE '' END AS two, {covered('shared', 'mine')} AS cov_in, {covered('shared', 'name_tokens')} AS cov_rec, greatest(CASE WHEN len(shared_acr) > 0 THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END, {shares}) AS overlap FROM gated)")
     add(f"""weighed AS MATERIALIZED (SELECT *, same_city AND two <> '' AND list_contains(shared_acr, two) AS two_in_city, p_loc <> '' AND {overlap("list_transform(trusted, lambda a: a || '|' || p_loc)", 'city_keys')} AS acr_in_city FROM measured)""")
     add("""evident AS MATERIALIZED (SELECT *, (len(trusted) > 0 OR two_in_city) AND (acr_in_city OR two_in_city OR (len(list_filter(trusted, lambda a: length(a) >= 4)) > 0 AND same_city)) AND NOT (len(mine) >= 3 AND cov_in < 0.45) AS reliable,
  (len(shared) >= 2 AND cov_in >= 0.45 AND cov_rec >= 0.45) OR (len(shared) = 1 AND cov_in >= 0.75 AND cov_rec >= 0.5 AND length(shared[1]) >= 4) AS literal_id FROM weighed)""")
-    add("""judged AS MATERIALIZED (SELECT e.*, parent_score, coalesce(lexical, 0.0) AS lexical, CASE WHEN (away AND NOT sole) THEN 'location' WHEN delivery_conflict THEN 'delivery' WHEN domain_conflict THEN 'domain' WHEN parent_score IS NOT NULL THEN 'parent' WHEN NOT literal_id AND NOT reliable THEN 'identity' ELSE 'name' END AS kind,
- len(trusted) > 0 AND list_has_any(p_domain, domain) AND p_loc <> '' AND p_loc = clean_city AS three FROM evident e LEFT JOIN parents USING (match_key, master_id) LEFT JOIN lexical USING (match_key, master_id))""")
+    add("""kinds AS MATERIALIZED (SELECT e.*, parent_score, CASE WHEN (away AND NOT sole) THEN 'location' WHEN delivery_conflict THEN 'delivery' WHEN domain_conflict THEN 'domain' WHEN parent_score IS NOT NULL THEN 'parent' WHEN NOT literal_id AND NOT reliable THEN 'identity' ELSE 'name' END AS kind,
+ len(trusted) > 0 AND list_has_any(p_domain, domain) AND p_loc <> '' AND p_loc = clean_city AS three FROM evident e LEFT JOIN (SELECT match_key, master_id, parent_score FROM parents) USING (match_key, master_id))""")
+    add(f"compared AS MATERIALIZED (SELECT match_key, master_id, p_input, p_bare, unnest({cand}) AS v FROM kinds WHERE kind = 'name')")
+    add(f"four AS MATERIALIZED (SELECT match_key, master_id, p_input AS a, v AS b FROM compared UNION SELECT match_key, master_id, p_bare, v FROM compared UNION SELECT match_key, master_id, {distinct_sorted('p_bare')}, {distinct_sorted('v')} FROM compared UNION SELECT match_key, master_id, {in_order('p_bare')}, {in_order('v')} FROM compared)")
+    add(ratios("ratio", "SELECT a, b FROM four"))
+    add("lexical AS MATERIALIZED (SELECT match_key, master_id, max(r) AS lexical FROM four JOIN ratio USING (a, b) GROUP BY 1, 2)")
+    add("judged AS MATERIALIZED (SELECT k.*, coalesce(l.lexical, 0.0) AS lexical FROM kinds k LEFT JOIN lexical l USING (match_key, master_id))")
     add("""raised AS MATERIALIZED (SELECT *, lexical * 0.6 + least(cov_in, cov_rec) * 30.0 - CASE WHEN overlap = 0 THEN 50 WHEN overlap < 0.5 THEN 18 ELSE 0 END + CASE WHEN p_loc <> '' AND p_loc = clean_city THEN 15 ELSE 0 END - CASE WHEN len(p_domain) > 0 AND len(domain) = 0 THEN 25 ELSE 0 END AS c FROM judged)""")
     add("""scored AS MATERIALIZED (SELECT *, CASE kind WHEN 'parent' THEN parent_score WHEN 'name' THEN least(CASE WHEN away AND sole THEN 75.0 ELSE 100.0 END, greatest(0.0, least(100.0, CASE WHEN three THEN greatest(c, 98.0) WHEN reliable AND same_city THEN greatest(c, 90.0) ELSE c END)))::DOUBLE ELSE 0.0 END::DOUBLE AS confidence,
  CASE kind WHEN 'parent' THEN 1.0 WHEN 'name' THEN overlap ELSE 0.0 END::DOUBLE AS token_overlap,
@@ -265,7 +269,7 @@ def tables(rules: RuleSet = INSTITUTIONS) -> str:
  || CASE WHEN p_loc <> '' AND p_loc = clean_city THEN ', exact city match' ELSE '' END || CASE WHEN len(p_domain) > 0 AND len(domain) = 0 THEN ', candidate does not confirm institution category' ELSE '' END
  || CASE WHEN three THEN ', abbreviation, institution category and city confirmed' WHEN reliable AND same_city THEN ', maintained acronym and campus confirmed' ELSE '' END || CASE WHEN away AND sole THEN ', unique acronym match but city requires review' ELSE '' END END AS reason FROM raised)""")
     add("""five AS MATERIALIZED (SELECT s.match_key, s.master_id, s.confidence, s.token_overlap, s.reason, s.r_name, s.loc, row_number() OVER (PARTITION BY s.match_key ORDER BY s.confidence DESC, conflict, s.master_id) AS rank, conflict
- FROM scored s JOIN conflicts USING (match_key, master_id) WHERE s.match_key IN (SELECT match_key FROM rest) QUALIFY rank <= 5)""")
+ FROM scored s WHERE s.match_key IN (SELECT match_key FROM rest) QUALIFY rank <= 5)""")
     add("""tops AS MATERIALIZED (SELECT *, confidence - lead(confidence, 1, 0.0::DOUBLE) OVER w AS margin, row_number() OVER w AS place FROM five WHERE NOT conflict WINDOW w AS (PARTITION BY match_key ORDER BY rank))""")
     sure = "false" if rules.strict else "(reason = 'Explicit parent institution' AND confidence >= 97 AND (loc <> '' OR margin >= 5)) OR (confidence >= 96 AND token_overlap >= 0.75 AND margin >= 8)"
     add(f"""late AS MATERIALIZED (SELECT match_key, CASE WHEN {sure} THEN 'FOUND' WHEN token_overlap = 0 OR confidence < 20 THEN 'NOT_FOUND' ELSE 'NEEDS_REVIEW' END AS decision, master_id, confidence, reason, margin FROM tops WHERE place = 1)""")

@@ -446,7 +446,7 @@ def fuzzy_fallback(spark, d):
 def full_cascade(spark, d):
     rows = _keyed(spark, d)
     inputs = rows.groupBy("match_key").agg(F.min_by(F.struct("name", "city", "state"), "row_id").alias("r")).select("match_key", "r.*")
-    return C.match(_master(spark, d), inputs, RULES, unicode=False, index=_index(spark, d)).drop("candidates")
+    return C.match(_master(spark, d), inputs, RULES, scorer="indel", unicode=False, index=_index(spark, d)).drop("candidates")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -540,7 +540,7 @@ def _fixture_oracles() -> dict[str, str]:
         "master_postings": " UNION ALL ".join(f"SELECT '{kind}' AS kind, key, count(*) AS n, min(master_id) AS first_id FROM {table} GROUP BY key" for table, kind in kinds.items()),
         "input_identities": "SELECT match_key, clean, raw_id, identity, context, loc, p_input, p_loc, p_bare FROM p",
         "input_evidence": f"SELECT match_key, {', '.join(f'{_list(c)} AS {c}' for c in ('ctx_inits', 'p_inits', 'all_inits', 'mine', 'p_domain'))}, {_list(cascade_sql.intents('clean', INSTITUTIONS))} AS asks FROM p",
-        "fixture_exact_tiers": "SELECT match_key, master_id, conflict FROM hits JOIN conflicts USING (match_key, master_id)",
+        "fixture_exact_tiers": "SELECT match_key, master_id, conflict FROM hit_conflicts",
         "brand_parents": "SELECT match_key, master_id FROM proposed WHERE rule = 4",
         "national_systems": only.format("SELECT * FROM system_ids"),
         "label_segments": "SELECT match_key, master_id FROM proposed WHERE rule = 9",
@@ -564,4 +564,5 @@ def _fixture_oracles() -> dict[str, str]:
     }.items()}
 
 
-ORACLES |= _fixture_oracles()
+_PART = "SELECT p_partkey AS master_id, p_name AS name, p_brand AS city, p_type AS state, '' AS short_form, '' AS category, p_partkey AS rn FROM part"
+ORACLES |= _fixture_oracles() | {"full_cascade": f"WITH {cascade_sql.tables(RULES, _PART, TARGET)} SELECT * FROM decisions"}
