@@ -45,7 +45,7 @@ def test_first_sheet_by_the_workbooks_order():
 
 
 def test_read_first_sheet_and_load_master(spark, tmp_path):
-    (tmp_path / "m.xlsx").write_bytes(book([["College Id ", "Name", None], ["1", "a & b", "x"], [None, None, None], ["2", None, None]]))
+    (tmp_path / "m.xlsx").write_bytes(book([["College Id ", "Name", ""], ["1", "a & b", "x"], [None, None, None], ["2", None, None]]))
     df, name = T.read_first_sheet(spark, str(tmp_path / "m.xlsx"))
     assert name == "Sheet1" and df.columns == ["College Id", "Name", "_c2", "_row_id"]
     assert [tuple(r) for r in df.orderBy("_row_id").collect()] == [("1", "a & b", "x", 0), (None, None, None, 1), ("2", None, None, 2)]
@@ -61,7 +61,7 @@ def test_read_first_sheet_and_load_master(spark, tmp_path):
 def test_audit_and_workbook_sinks(spark, tmp_path):
     df = spark.createDataFrame([(2, "z", 1.5), (1, 'q"uote', 2.0)], "_row_id long, name string, `Confidence Score` double")
     T.write_audit(df, str(tmp_path / "audit"))
-    assert sorted(r.name for r in spark.read.option("header", "true").option("escape", '"').csv(str(tmp_path / "audit")).collect()) in (['q"uote', "z"], ['q\\"uote', "z"])
+    assert sorted(r.name for r in spark.read.option("header", "true").csv(str(tmp_path / "audit")).collect()) == ['q"uote', "z"]
     T.write_workbook(df, str(tmp_path / "out.xlsx"))
     assert T.parse_workbook((tmp_path / "out.xlsx").read_bytes())[0] == [["name", "Confidence Score"], ['q"uote', "2.0"], ["z", "1.5"]]
 
@@ -141,8 +141,8 @@ def test_nan_and_null_are_empty(spark):
 
 
 def test_small_reports(spark):
-    one = spark.createDataFrame([(1, "n", "c", "s", 97.25), (2, "m", "c", "s", 97.35)], "master_id long, name string, city string, state string, confidence double")
-    assert sorted(r.v for r in one.select(R.label(one).alias("v")).collect()) == ["1 | n | c, s | Confidence: 97.2", "2 | m | c, s | Confidence: 97.3" if f"{97.35:.1f}" == "97.3" else "2 | m | c, s | Confidence: 97.4"]
+    one = spark.createDataFrame([(1, "n", "c", "s", 97.25), (2, "m", "c", "s", 88.75)], "master_id long, name string, city string, state string, confidence double")
+    assert sorted(r.v for r in one.select(R.label(one).alias("v")).collect()) == ["1 | n | c, s | Confidence: 97.2", "2 | m | c, s | Confidence: 88.8"]
     parts = spark.createDataFrame([(1, 2, 0.5), (3, 2, 1.0), (-1, 2, 0.0), (1, 0, 0.0)], "a int, b int, want double")
     assert [r.got for r in parts.select(R.safe_ratio(F.col("a"), F.col("b")).alias("got")).collect()] == [0.5, 1.0, 0.0, 0.0]
     results = spark.createDataFrame([("v1", 1), ("v2", 2)], "engine_version string, n int")
