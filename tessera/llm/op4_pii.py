@@ -303,6 +303,7 @@ def attempts_without_collision(docs: DataFrame, key: bytes) -> dict[str, int]:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), pa.array([a == b and any(map(alphabet, b)) for a, b in zip(new, values)], pa.bool_())], schema=marked)
 
         some = own.where(F.col("kind").isin(*todo)) if todo else own.limit(0)
+        some = some.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "value")  # few bytes, but much work each
         made = some.mapInArrow(replace, "kind string, value string, same boolean")
         bad = made.groupBy("kind", "value").agg(F.count("*").alias("n"), F.max("same").alias("same")).where("n > 1 or same")
         todo = {r.kind for r in bad.select("kind").distinct().collect()}
