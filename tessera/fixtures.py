@@ -50,6 +50,7 @@ MASTER = [
     (44, "Deneb College", "Surat", "Gujarat", "", ""),
     (44, "Deneb Evening College", "Ujjain", "Madhya Pradesh", "DEC", ""),
     (45, "Mira Teachers' College", "Greater Noida", "Uttar Pradesh", "", ""),
+    (46, "Vikram Arjun Bhima Nakul Karna Drona Kripa Shalya Sanjaya Vidura Shakuni College", "Ujjain", "Madhya Pradesh", "", ""),
     (57033, "L.N. Medical College", "Bhopal", "Madhya Pradesh", "", "Medical"),
     (4639, "Sophia College", "Mumbai", "Maharashtra", "", ""),
     (54797, "Amity Campus", "Lucknow", "Uttar Pradesh", "", "University"),
@@ -74,6 +75,7 @@ CASES = [
     ("Rigel Medical College", "Lucknow", ""), ("Rigel Homeopathic College", "", ""), ("Rigel College", "Lucknow", ""), ("Rigel", "", ""), ("Polaris School of Planning", "", ""), ("Polaris University - School College of Design", "", ""), ("Polaris University, Government College of Stars", "Bhopal", ""), ("Institute of Stars, Polaris University", "", ""),
     ("Altair Academy", "Noida", ""), ("Altair Academy", "Greater Noida", ""), ("Altair Academy", "", ""), ("Altair", "Gurugram", ""), ("ALTA Academy", "Gurgaon", ""), ("Castor Pollux College", "Ujjain", ""), ("Castor Pollux", "", ""), ("Castor Women", "Ujjain", ""), ("Deneb College", "", ""), ("Deneb College", "Ujjain", ""), ("Deneb", "Surat", ""),
     ("Mira Teachers College", "Noida", ""), ("Mira Teachers' College", "Greater Noida", ""), ("Zzyzx Qwerty", "", ""), ("Zzyzx Qwerty", "Pune", ""), ("Zzyzx Alphy", "", ""), ("College", "", ""), ("", "", ""), ("!!!", "Pune", ""), ("Pune", "", ""), ("Pune College", "Pune", ""), ("Gandhi Medical College", "Indore", ""), ("Gandhi College", "Bhopal", ""), ("Gandhi Memorial Engineering", "", ""),
+    ("Vikram Arjun Bhima Nakul Karna", "", ""), ("lnmcr medical", "Bhopal", ""), ("kalinga memorial kmce", "Nagpur", ""), ("sjb nursing", "Bangalore", ""), ("rigel academy", "Lucknow", ""),
 ]
 MASTER_SCHEMA = "master_id long, name string, city string, state string, short_form string, category string, _row_id long"
 TARGET_SCHEMA = "row_id long, name string, city string, state string, note string"

@@ -78,7 +78,7 @@ def enriched(master: DataFrame, rules: RuleSet = INSTITUTIONS, unicode: bool = T
 @dataclass
 class Index:
     """dim: one record per id. The others are posting tables; phrases is the location dictionary. words counts the records of each name token; rare holds of
-    each record the rarest tokens, of which a likely input shares one (see `prefix`); heads the rarest token of each of its parent identities."""
+    each record the rarest tokens, of which a likely input shares one (`first`, see prefix()), and both of two for inputs with one token; heads the rarest token of each of its parent identities."""
 
     dim: DataFrame
     variants: DataFrame
@@ -139,8 +139,9 @@ def build(master: DataFrame, rules: RuleSet = INSTITUTIONS, unicode: bool = True
     dim = L.cut(dim.join(tokens.groupBy("master_id").agg(F.collect_set("key").alias("posted")), "master_id", "left").withColumn("posted", F.coalesce("posted", empty)))
     words = dim.select(F.explode("name_tokens").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
     ranked = by_rarity(dim, "master_id", "name_tokens", words)
-    # inputs with one token match records of at most two
-    rare = ranked.select("master_id", F.explode(F.when(F.size("name_tokens") <= 2, F.col("name_tokens")).otherwise(prefix(F.col("name_tokens")))).alias("k"))
+    # inputs with one token match records of at most two, on either
+    rare = ranked.select("master_id", prefix(F.col("name_tokens")).alias("first"), F.explode(F.when(F.size("name_tokens") <= 2, F.col("name_tokens")).otherwise(prefix(F.col("name_tokens")))).alias("k"))
+    rare = rare.select("master_id", "k", F.array_contains("first", F.col("k")).alias("first"))
     heads = None
     for c in ("ident_base", "ident_short"):
         own = by_rarity(dim, "master_id", c, words).select("master_id", F.get(c, F.lit(0)).alias("k"))

@@ -99,7 +99,8 @@ def named_parents(p: DataFrame, index: I.Index, dim: DataFrame, rules: RuleSet)
 def word_pairs(p: DataFrame, index: I.Index) -> DataFrame:
     """(key, master_id) of all pairs that may share enough name tokens for a literal identity, by their rarest tokens."""
     mine = I.by_rarity(p, "key", "p_tokens", index.words)
-    return mine.select("key", F.explode(I.prefix(F.col("p_tokens"))).alias("k")).join(index.rare, "k").select("key", "master_id").distinct()
+    mine = mine.select("key", (F.size("p_tokens") == 1).alias("alone"), F.explode(I.prefix(F.col("p_tokens"))).alias("k"))
+    return mine.join(index.rare, "k").where("alone or first").select("key", "master_id").distinct()
 
 
 def ranking_pool(rest: DataFrame, index: I.Index, dim: DataFrame, rules: RuleSet, scorer: str) -> tuple[DataFrame, DataFrame]:
