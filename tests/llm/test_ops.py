@@ -116,6 +116,23 @@ def vectors(spark):
     return x, spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
 
 
+def test_cross_polytope_against_sql(spark, tmp_path):
+    import duckdb
+
+    from tessera.llm import queries
+
+    _, df = vectors(spark)
+    df = df.where("vec_id is not null").dropDuplicates(["vec_id"])
+    df.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    for d, pattern in ((str(tmp_path), "embeddings.parquet/*.parquet"), (DIR, "embeddings.parquet")):
+        con = duckdb.connect()
+        con.execute(f"create view embeddings as select * from '{d}/{pattern}'")
+        want = con.execute(queries.ORACLES["op5_crosspolytope"])
+        names = [x[0] for x in want.description]
+        got = op5_crosspolytope.op5_crosspolytope(spark, d)
+        assert names == got.columns and sorted(want.fetchall()) == sorted(tuple(r) for r in got.collect())
+
+
 def test_cross_polytope(spark):
     x, df = vectors(spark)
     got = op5_crosspolytope.embedding_components(df).toPandas()
