@@ -36,6 +36,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of five-word similarity 0.8 or more: the one with the smallest doc_id (one row of it, if it repeats). Rows without a doc_id are kept.
+    SimHash (op10) and bands choose the candidates, shingles decide them (see tessera/llm/near.py).
 
     The ids kept grow with the corpus, so they are joined by a shuffle at every size.
     """
