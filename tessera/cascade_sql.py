@@ -142,8 +142,10 @@ def tables(rules: RuleSet = INSTITUTIONS, given: str = "", target: str = "") ->
     parts = []
     add = parts.append
     supplement = values([(*r, 1 << 40) for r in rules.supplement], "master_id, name, city, state, short_form, category, rn") if rules.supplement else "(SELECT * FROM given LIMIT 0)"
-    add(f"given AS {f'({given})' if given else values(fixtures.master_rows(), 'master_id, name, city, state, short_form, category, rn')}")
-    add(f"target AS {f'({target})' if target else values(fixtures.target_rows(), 'row_id, name, city, state, note')}")
+    given = given or f"SELECT * REPLACE (master_id::BIGINT AS master_id, rn::BIGINT AS rn) FROM {values(fixtures.master_rows(), 'master_id, name, city, state, short_form, category, rn')}"
+    target = target or f"SELECT * REPLACE (row_id::BIGINT AS row_id) FROM {values(fixtures.target_rows(), 'row_id, name, city, state, note')}"
+    add(f"given AS ({given})")
+    add(f"target AS ({target})")
     add(f"m0 AS MATERIALIZED (SELECT * FROM given UNION ALL SELECT * FROM {supplement} WHERE master_id NOT IN (SELECT master_id FROM given))")
     add(f"m1 AS MATERIALIZED (SELECT *, {n('name')} AS clean_name, {n(chr(40) + 'regexp_replace(name, ' + text(chr(92) + 's*-?' + chr(92) + 's*' + chr(92) + '[[^' + chr(92) + ']]+' + chr(92) + ']') + ', ' + text(' ') + ', ' + text('g') + '))')} AS base_name, {n('short_form')} AS clean_short, {n('city')} AS raw_city FROM m0)")
     add(f"m2 AS MATERIALIZED (SELECT *, {canon('raw_city')} AS clean_city, {match('clean_name')} AS match_name, {match('base_name')} AS match_base, {match('clean_short')} AS match_short, list_filter(list_transform(regexp_extract_all(name, '\\[([^\\]]+)\\]', 1), lambda a: replace({n('a')}, ' ', '')), lambda a: a <> '') AS bracket, list_filter(list_transform(regexp_extract_all(short_form, '\\b[A-Z][A-Z0-9]+\\b'), lambda a: lower(a)), lambda a: length(a) <= 12 AND NOT list_contains({lst(noise)}, a)) AS upper_words, array_to_string(list_filter({toks('base_name')}, lambda w: NOT list_contains({toks('raw_city')}, w)), ' ') AS bare FROM m1)")
