@@ -515,7 +515,7 @@ ORACLES = {
     "detect_location": f"WITH {_T}, t AS (SELECT row_id, {_sql_n('name')} AS text FROM target), p AS (SELECT DISTINCT {_sql_n('p_brand')} AS phrase FROM part UNION SELECT unnest(['brand 1', 'brand 2', 'brand 3', 'brand 4'])), hit AS (SELECT row_id, arg_max(phrase, length(phrase)) AS phrase FROM t JOIN p ON contains(' ' || text || ' ', ' ' || phrase || ' ') GROUP BY 1) SELECT row_id, coalesce({_sql_canon('phrase')}, '') AS location, coalesce(phrase, '') AS phrase FROM t LEFT JOIN hit USING (row_id)",
     "location_conflict": f"WITH {_T}, {_K}, n AS (SELECT DISTINCT clean, loc FROM keyed), mm AS (SELECT {_sql_n('p_name')} AS clean, {_sql_canon(_sql_n('p_brand'))} AS mloc FROM part) SELECT n.clean, n.loc, count(mloc) FILTER (mloc <> n.loc) AS n_away FROM n LEFT JOIN mm USING (clean) GROUP BY 1, 2",
     "candidate_blocking": f"WITH {_T}, {_NAMES}, {_M}, {_POOL} " + _COUNT.format("SELECT * FROM pool"),
-    "verified_overrides": f"WITH {_T}, {_NAMES} SELECT clean, master_id, p_name AS name FROM names JOIN (VALUES {', '.join(f"('{k}', {v})" for k, v in RULES.verified.items())}) a(k, master_id) ON k = clean JOIN part ON p_partkey = master_id",
+    "verified_overrides": f"WITH {_T}, {_NAMES} SELECT clean, master_id, p_name AS name FROM names JOIN (VALUES {', '.join(f"('{k}', {v}::BIGINT)" for k, v in RULES.verified.items())}) a(k, master_id) ON k = clean JOIN part ON p_partkey = master_id",
     "verified_absent": f"WITH {_T}, {_NAMES} SELECT clean FROM names WHERE clean IN ('bb', 'hot ring')",
     "token_coverage": f"WITH {_T}, {_NAMES}, {_COV} SELECT match_key, clean, cov_in, cov_rec FROM cov",
     "delivery_conflict": f"WITH c AS (SELECT DISTINCT {_sql_n('p_name')} AS clean FROM part) SELECT a.clean AS bare, b.clean, len({_DEL.format('b.clean')}) > 0 AND list_sort({_DEL.format('a.clean')}) <> list_sort({_DEL.format('b.clean')}) AS conflict FROM c a JOIN c b ON split_part(a.clean, ' ', 2) = split_part(b.clean, ' ', 2)",
