@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -39,6 +39,29 @@ def supplemented(master: DataFrame, rules: RuleSet = INSTITUTIONS) -> DataFrame:
     return master.unionByName(new)
 
 
+def kindred(master: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records that can't be told apart by the rules: records, one row per id (master_id, kin, name, city, state), kin being the smallest id of those whose
+    last row has the same name, city, short form and category and whose other rows have the same texts; and the rows of each kin under that id, with how
+    many ids it stands for (n) and how many of them are not null (ids)."""
+    m = master if "_row_id" in master.columns else master.withColumn("_row_id", F.monotonically_increasing_id())
+    text = F.struct("name", "city", "short_form")
+    one = m.groupBy("master_id").agg(F.max_by(F.struct("name", "city", "state", "short_form", "category"), "_row_id").alias("r"), F.collect_set(text).alias("texts")).select("master_id", "r.*", "texts")
+    one = L.cut(one.withColumn("texts", F.sort_array(F.array_except("texts", F.array(text)))))
+    same = ["name", "city", "short_form", "category", "texts"]
+    kin = L.cut(one.groupBy(same).agg(F.min("master_id").alias("kin"), F.count("*").alias("n"), F.count("master_id").alias("ids")))
+    records = L.cut(one.join(kin.select(*same, "kin"), same).select("master_id", "kin", "name", "city", "state"))
+    own = kin.select(F.col("kin").alias("master_id"), "category", "n", "ids", F.lit(1).alias("_row_id"), *same[:3])
+    others = kin.select(F.col("kin").alias("master_id"), "category", "n", "ids", F.lit(0).alias("_row_id"), F.explode("texts").alias("t")).select("master_id", "category", "n", "ids", "_row_id", "t.*")
+    return records, own.unionByName(others).withColumn("state", F.lit(""))
+
+
+def expanded(rows: DataFrame, records: DataFrame) -> DataFrame:
+    """Rows of kin as rows of all their records."""
+    own = records.select(F.col("kin").alias("_own"), "master_id")
+    rows = rows.withColumnRenamed("master_id", "_kin")
+    return rows.join(own, F.col("_kin").eqNullSafe(F.col("_own"))).drop("_kin", "_own")
+
+
 def last_record(rows: DataFrame) -> DataFrame:
     """Of rows with one id, the last."""
     cols = [c for c in rows.columns if c not in ("master_id", "_row_id")]
@@ -78,7 +101,10 @@ def enriched(master: DataFrame, rules: RuleSet = INSTITUTIONS, unicode: bool = T
 @dataclass
 class Index:
     """dim: one record per id. The others are posting tables; phrases is the location dictionary. words counts the records of each name token; rare holds of
-    each record the rarest tokens, of which a likely input shares one (`first`, see prefix()), and both of two for inputs with one token; heads the rarest token of each of its parent identities."""
+    each record the rarest tokens, of which a likely input shares one (`first`, see prefix()), and both of two for inputs with one token; heads the rarest token of each of its parent identities.
+
+    kin is the same index with one record for all that the rules can't tell apart (see kindred()); its dim says for how many (n, and ids without null), and
+    records which they are. Pairs with kin don't grow with the square of equal names."""
 
     dim: DataFrame
     variants: DataFrame
@@ -91,6 +117,8 @@ class Index:
     words: DataFrame
     rare: DataFrame
     heads: DataFrame
+    records: DataFrame | None = None
+    kin: Index | None = None
 
 
 #: A literal identity needs this share of the tokens of either side, and two tokens (or one, of an input that has no other).
@@ -111,9 +139,19 @@ def by_rarity(rows: DataFrame, key: str, tokens: str, words: DataFrame) -> DataF
 
 
 def build(master: DataFrame, rules: RuleSet = INSTITUTIONS, unicode: bool = True) -> Index:
-    """Postings hold all rows; of rows with one id the last is the record. The enriched rows,
-    the phrases and the records are written once: everything else is made from them."""
-    rows = L.cut(enriched(supplemented(validated(master), rules), rules, unicode))
+    """Postings hold all rows; of rows with one id the last is the record. All is derived once for the records that can't be told apart; their enriched
+    rows, the phrases and the records are written once: everything else is made from them."""
+    records, rows = kindred(supplemented(validated(master), rules))
+    kin = _build_kin(rows, rules, unicode)
+    own = records.select(F.col("kin").alias("_own"), "master_id", "name", "city", "state")
+    dim = kin.dim.drop("name", "city", "state", "n", "ids").withColumnRenamed("master_id", "_kin").join(own, F.col("_kin").eqNullSafe(F.col("_own"))).drop("_kin", "_own")
+    postings_of = {t: expanded(getattr(kin, t), records) for t in ("variants", "fingerprints", "tokens", "acronyms", "locations", "rare", "heads")}
+    return replace(kin, dim=dim, **postings_of, records=records, kin=kin)
+
+
+def _build_kin(rows: DataFrame, rules: RuleSet, unicode: bool) -> Index:
+    """The index of rows that stand for n records each."""
+    rows = L.cut(enriched(rows, rules, unicode))
     phrases = L.cut(L.phrase_dictionary(rows.select(F.col("raw_city").alias("raw"), F.col("clean_city").alias("clean")), rules))
     size = L.measure(phrases)
     dim = last_record(rows.drop("variants", "fingerprints"))
@@ -123,9 +161,10 @@ def build(master: DataFrame, rules: RuleSet = INSTITUTIONS, unicode: bool = True
     dim = L.cut(dim)
     acronyms = postings(rows, F.col("acronym_keys"))
     located = postings(dim, F.col("cities")).union(postings(rows, F.array("clean_city"))).distinct()
-    once = acronyms.groupBy("key").agg(F.count("*").alias("n"), F.min("master_id").alias("master_id")).where("n = 1")
+    counted = rows.select(F.explode("acronym_keys").alias("key"), "master_id", "n", "ids").where("key <> ''").distinct()
+    once = counted.groupBy("key").agg(F.sum("n").alias("n"), F.min("master_id").alias("master_id")).where("n = 1")
     once = once.groupBy("master_id").agg(F.collect_set("key").alias("unique_keys"))
-    by_city = acronyms.join(located.withColumnRenamed("key", "place"), "master_id").groupBy("key", "place").agg(F.count("*").alias("n"), F.min("master_id").alias("master_id")).where("n = 1")
+    by_city = counted.join(located.withColumnRenamed("key", "place"), "master_id").groupBy("key", "place").agg(F.sum("ids").alias("n"), F.min("master_id").alias("master_id")).where("n = 1")
     by_city = by_city.groupBy("master_id").agg(F.collect_set(F.concat_ws("|", "key", "place")).alias("city_keys"))
     empty = X.arr(())
     dim = dim.join(once, "master_id", "left").join(by_city, "master_id", "left").withColumns({"unique_keys": F.coalesce("unique_keys", empty), "city_keys": F.coalesce("city_keys", empty)})
@@ -137,7 +176,7 @@ def build(master: DataFrame, rules: RuleSet = INSTITUTIONS, unicode: bool = True
     })
     tokens = postings(rows, F.concat("ident_base", "ident_short"))
     dim = L.cut(dim.join(tokens.groupBy("master_id").agg(F.collect_set("key").alias("posted")), "master_id", "left").withColumn("posted", F.coalesce("posted", empty)))
-    words = dim.select(F.explode("name_tokens").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    words = dim.select(F.explode("name_tokens").alias("k"), "n").groupBy("k").agg(F.sum("n").alias("n"))
     ranked = by_rarity(dim, "master_id", "name_tokens", words)
     # inputs with one token match records of at most two, on either
     rare = ranked.select("master_id", prefix(F.col("name_tokens")).alias("first"), F.explode(F.when(F.size("name_tokens") <= 2, F.col("name_tokens")).otherwise(prefix(F.col("name_tokens")))).alias("k"))
