@@ -81,8 +81,16 @@ def fallback(lone: DataFrame, index: I.Index, scorer: str = "difflib", limit: in
     return rank(near.withColumnRenamed("variant", "master_id"), limit).select("key", F.col("master_id").alias("variant"), "rank", "confidence")
 
 
+def _weighed(dim: DataFrame) -> DataFrame:
+    """Records with `ids`, how many ids each stands for: one, unless they are kin."""
+    return dim if "ids" in dim.columns else dim.withColumn("ids", F.lit(1))
+
+
 def _only(df: DataFrame) -> DataFrame:
-    """Keys with one id."""
+    """Keys with one id. With a column `ids` a row stands for so many."""
+    if "ids" in df.columns:
+        each = df.where("master_id is not null").select("key", "master_id", "ids").distinct()
+        return each.groupBy("key").agg(F.sum("ids").alias("n"), F.min("master_id").alias("master_id")).where("n = 1").select("key", "master_id")
     return df.groupBy("key").agg(F.count_distinct("master_id").alias("n"), F.min("master_id").alias("master_id")).where("n = 1").select("key", "master_id")
 
 
@@ -137,11 +145,17 @@ def _unconflicted(pairs: DataFrame, p: DataFrame, dim: DataFrame) -> DataFrame:
 
 def match(master: DataFrame, inputs: DataFrame, rules: RuleSet = INSTITUTIONS, scorer: str = "difflib", unicode: bool = True, top: int = 5, index: I.Index | None = None, progress: Callable[[int, int, str], None] = lambda done, total, what: None) -> DataFrame:
     """Decisions for distinct inputs (match_key, name, city, state): one row per key, with up to `top` candidates. `progress` is told how many of the
-    stages are done."""
+    stages are done.
+
+    Equal names and cities are decided once, among kin: records that the rules can't tell apart count for as many as they are, and are listed one by one
+    only where they are ranked, up to `top` of each."""
     index = index or I.build(master, rules, unicode)
     progress(1, 4, "Master index built")
-    dim = index.dim.select(*[F.col(c).alias({"name": "r_name", "city": "r_city", "state": "r_state"}.get(c, c)) for c in index.dim.columns])
-    p = probes(inputs, index, rules, unicode).withColumn("print", X.fingerprint(F.col("identity")))
+    records, index = index.records, index.kin
+    dim = index.dim.drop("name", "city", "state")
+    given = L.cut(inputs.select("match_key", *(X.filled(F.col(c)).alias(c) for c in ("name", "city", "state"))))
+    p = given.groupBy("name", "city").agg(F.min("match_key").alias("match_key"), F.lit("").alias("state"))
+    p = probes(p, index, rules, unicode).withColumn("print", X.fingerprint(F.col("identity")))
     p = L.cut(p)
     progress(2, 4, "Inputs prepared")
     found = []
@@ -152,18 +166,19 @@ def match(master: DataFrame, inputs: DataFrame, rules: RuleSet = INSTITUTIONS, s
         if alias:
             ids = X.mapped(alias)
             hit = p.select("key", F.coalesce(F.element_at(ids, F.col("clean")), F.element_at(ids, F.col("context"))).cast("long").alias("master_id")).where("master_id is not null")
-            found.append(_say(_unconflicted(hit, p, dim).where("not conflict"), rule, decision, confidence, reason))
+            hit = hit.join(records.select("kin", "master_id"), "master_id").withColumnsRenamed({"master_id": "named", "kin": "master_id"})
+            found.append(_say(_unconflicted(hit, p, dim).where("not conflict").withColumn("master_id", F.col("named")), rule, decision, confidence, reason))
     for brand in rules.brands:
         found.append(_say(_brand(p, index, dim, brand), 4, "FOUND", 98.0, f"{brand[0].capitalize()} parent university and campus city confirmed"))
     if rules.families:
         found.append(_say(_systems(p, index, dim, rules), 5, "FOUND", 99.0, "National institution acronym and city confirmed"))
-    hits = L.cut(_unconflicted(exact_hits(p, index), p.select("key", "identity", "loc", "ctx_inits"), dim).select("key", "master_id", "conflict", "identity", "clean_name", "base_name", "match_name", "match_base", "clean_short"))
-    sized = hits.withColumn("n_all", F.count("*").over(W.partitionBy("key")))
+    hits = L.cut(_unconflicted(exact_hits(p, index), p.select("key", "identity", "loc", "ctx_inits"), dim).select("key", "master_id", "ids", "conflict", "identity", "clean_name", "base_name", "match_name", "match_base", "clean_short"))
+    sized = hits.withColumn("n_all", F.sum("ids").over(W.partitionBy("key")))
     found.append(_say(sized.where("n_all = 1 and conflict"), 7, "NEEDS_REVIEW", 70.0, "Unique institution name; input city differs from the master city and requires verification"))
     by = W.partitionBy("key")
     literal = F.col("identity").isin(F.col("clean_name"), F.col("base_name"), F.col("match_name"), F.col("match_base"))
     kept = hits.where("not conflict").withColumn("literal", literal).withColumn("any_literal", F.max("literal").over(by)).where("literal or not any_literal")
-    spelled = kept.withColumn("full", (F.col("clean_short") == F.col("identity")).cast("int")).withColumn("n_full", F.sum("full").over(by)).withColumn("n", F.count("*").over(by))
+    spelled = kept.withColumn("full", (F.col("clean_short") == F.col("identity")).cast("int")).withColumn("n_full", F.sum(F.col("full") * F.col("ids")).over(by)).withColumn("n", F.sum("ids").over(by))
     found.append(_say(_only(spelled.where("n = 1 or n_full <> 1 or full = 1")), 8, "FOUND", 100.0, "Unique exact master match"))
     found.append(_say(_segments(p, index, dim, rules, unicode), 9, "NEEDS_REVIEW", 92.0, "Explicit parent institution confirmed; specialised sub-unit has no unique exact master record"))
     early = found[0]
@@ -176,8 +191,12 @@ def match(master: DataFrame, inputs: DataFrame, rules: RuleSet = INSTITUTIONS, s
     rest = L.cut(p.join(early.select("key"), "key", "left_anti"))
     pool, touched = ranking_pool(rest, index, dim, rules, scorer)
     ranked = rank(S.scored(pool.join(rest, "key").join(dim, "master_id"), rules, scorer), top)
+    # of kin the first ids are enough: each of them is ahead of the others
+    few = records.where("master_id is not null").withColumn("nth", F.row_number().over(W.partitionBy("kin").orderBy("master_id"))).where(F.col("nth") <= top).drop("nth")
+    ranked = rank(ranked.drop("rank").withColumnRenamed("master_id", "kin").join(few, "kin"), top)
+    ranked = ranked.withColumnsRenamed({"master_id": "own", "kin": "master_id", "name": "r_name", "city": "r_city", "state": "r_state"})
     ranked = _unconflicted(ranked, rest.select("key", "loc", "ctx_inits"), dim).where("not conflict")
-    ranked = L.cut(ranked.select("key", "master_id", "rank", "confidence", "overlap", "reason", "loc", "r_name", "r_city", "r_state", "category"))
+    ranked = L.cut(ranked.select("key", F.col("own").alias("master_id"), "rank", "confidence", "overlap", "reason", "loc", "r_name", "r_city", "r_state", "category"))
     late = L.cut(decide(ranked, rules))
     progress(4, 4, "Candidates ranked")
     # what is left had candidates that all score zero, unless nothing was found or all of it lies elsewhere
@@ -186,8 +205,9 @@ def match(master: DataFrame, inputs: DataFrame, rules: RuleSet = INSTITUTIONS, s
     empty = left.join(seen, "key", "left")
     empty = empty.select("key", F.lit(13).alias("rule"), F.lit(None).cast("long").alias("master_id"), F.lit("NOT_FOUND").alias("decision"), F.lit(0.0).alias("confidence"), F.when(F.col("some") & (F.col("p_input") != ""), "No credible master match").otherwise("No master candidate found").alias("reason"), _no_candidates().alias("candidates"))
     done = early.withColumn("candidates", _no_candidates()).unionByName(late).unionByName(empty)
-    out = p.select("key", "name", "clean", "city", "state").join(done, "key").join(dim.select("master_id", "r_name"), "master_id", "left")
-    return out.select(F.col("name").alias("input_name"), F.col("clean").alias("normalized_name"), F.col("key").alias("match_key"), F.col("city").alias("input_city"), F.col("state").alias("input_state"), "decision", "master_id", F.col("r_name").alias("matched_name"), F.round("confidence", 2).alias("confidence"), "reason", "candidates")
+    done = L.cut(done.join(records.select("master_id", F.col("name").alias("r_name")), "master_id", "left").join(p.select("key", "name", "clean", "city"), "key").drop("key"))
+    out = given.join(done, ["name", "city"])
+    return out.select(F.col("name").alias("input_name"), F.col("clean").alias("normalized_name"), "match_key", F.col("city").alias("input_city"), F.col("state").alias("input_state"), "decision", "master_id", F.col("r_name").alias("matched_name"), F.round("confidence", 2).alias("confidence"), "reason", "candidates")
 
 
 CANDIDATE = "array<struct<rank:int,master_id:bigint,name:string,city:string,state:string,category:string,confidence:double,token_overlap:double,reason:string>>"
@@ -222,7 +242,7 @@ def _brand(p: DataFrame, index: I.Index, dim: DataFrame, brand: tuple) -> DataFr
     """The one parent record of a brand in the input's location."""
     word, start, lacks, category = brand
     asked = p.where(F.array_contains(X.tokens(F.col("clean")), word) & (F.col("loc") != "")).select("key", F.col("loc").alias("k"))
-    parent = dim.where(F.startswith("base_name", F.lit(start)) & ~F.arrays_overlap(X.tokens(F.col("base_name")), X.arr(lacks)) & (F.lower("category") == category)).select("master_id")
+    parent = _weighed(dim).where(F.startswith("base_name", F.lit(start)) & ~F.arrays_overlap(X.tokens(F.col("base_name")), X.arr(lacks)) & (F.lower("category") == category)).select("master_id", "ids")
     return _only(asked.join(index.locations.withColumnRenamed("key", "k").join(parent, "master_id"), "k"))
 
 
@@ -233,11 +253,11 @@ def _systems(p: DataFrame, index: I.Index, dim: DataFrame, rules: RuleSet) -> Da
     asked = p.withColumn("systems", F.array_distinct(F.concat(F.array_intersect(words, X.arr(rules.system_acronyms)), F.array_compact(F.array(*named)) if named else X.arr(()))))
     subs = X.arr(rules.system_subunits)
     asked = asked.where((F.size("systems") > 0) & (F.col("loc") != "")).select("key", "systems", F.col("loc").alias("k"), F.arrays_overlap(words, subs).alias("sub"), X.intents(F.col("clean"), rules).alias("asks"))
-    records = dim.where(F.size("families") > 0).select("master_id", "families", F.arrays_overlap(X.tokens(F.col("clean_name")), subs).alias("r_sub"), X.intents(F.concat_ws(" ", "clean_name", "clean_short"), rules).alias("has"))
+    records = _weighed(dim).where(F.size("families") > 0).select("master_id", "ids", "families", F.arrays_overlap(X.tokens(F.col("clean_name")), subs).alias("r_sub"), X.intents(F.concat_ws(" ", "clean_name", "clean_short"), rules).alias("has"))
     own = asked.join(index.locations.withColumnRenamed("key", "k").join(records, "master_id"), "k").where(F.arrays_overlap("systems", "families") & (F.col("sub") | ~F.col("r_sub")))
     by = W.partitionBy("key")
     own = own.withColumns({"fit": F.arrays_overlap("asks", "has").cast("int"), "main": (~F.col("r_sub")).cast("int")})
-    own = own.withColumns({"n": F.count("*").over(by), "n_fit": F.sum("fit").over(by), "n_main": F.sum("main").over(by)})
+    own = own.withColumns({"n": F.sum("ids").over(by), "n_fit": F.sum(F.col("fit") * F.col("ids")).over(by), "n_main": F.sum(F.col("main") * F.col("ids")).over(by)})
     narrow = (F.size("asks") > 0) & (F.col("n") > 1)
     own = own.where(~(narrow & (F.col("n_fit") == 1)) | (F.col("fit") == 1)).where(~(narrow & (F.col("n_fit") == 0) & (F.col("n_main") == 1)) | (F.col("main") == 1))
     return _only(own)
@@ -253,7 +273,7 @@ def _segments(p: DataFrame, index: I.Index, dim: DataFrame, rules: RuleSet, unic
     anchors = X.arr(("university", "college", "institute", "iit", "nit", "iiit"))
     open_ = parts.join(plain.select("key", "segment").distinct(), ["key", "segment"], "left_semi").union(parts.where(F.arrays_overlap(X.tokens(F.col("segment")), anchors))).where("loc <> ''")
     placed = open_.select("key", "segment", F.trim(F.concat_ws(" ", "segment", "loc")).alias("k")).join(index.variants.withColumnRenamed("key", "k"), "k").select("key", "segment", "master_id")
-    return _only(_unconflicted(plain.union(placed).select("key", "master_id").distinct(), p, dim).where("not conflict"))
+    return _only(_unconflicted(plain.union(placed).select("key", "master_id").distinct(), p, _weighed(dim)).where("not conflict"))
 
 
 def match_all(master: DataFrame, target: DataFrame, name: str, city: str | None = None, state: str | None = None, row_id: str | None = None, rules: RuleSet = INSTITUTIONS, **how) -> tuple[DataFrame, DataFrame]:
