@@ -78,13 +78,37 @@ def common_words(a: list[bytes], b: list[bytes]) -> int:
     return int(row[-1])
 
 
+def template_grams(source: DataFrame, templates: list[tuple[str, str]], k: int) -> DataFrame:
+    """doc_id, rk, p, h of the k-grams of (doc_id, rk, text) that some template has too; the others can't vote and stay in the worker."""
+    own = [grams(word_hashes(text), k) for _, text in templates]
+    wanted = np.unique(np.concatenate([*own, np.empty(0, np.uint64)]))
+    kinds = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("p", pa.int32()), ("h", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            texts = texts_of(batch.column(2))
+            for a, b in slices(texts):
+                data, at = joined(texts[a:b])
+                start, stop = runs(WORD_BYTES[data])
+                g = grams(hashes(data, start, stop), k)
+                if not len(g) or not len(wanted):
+                    continue
+                doc = np.searchsorted(at, start, "right") - 1
+                first_of = np.searchsorted(doc, np.arange(b - a + 1))
+                at_template = wanted[np.minimum(np.searchsorted(wanted, g), len(wanted) - 1)] == g
+                w = np.flatnonzero(at_template & (doc[: len(g)] == doc[k - 1 :]))
+                rows = pa.array(a + doc[w])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array((w - first_of[doc[w]]).astype(np.int32)), pa.array(g[w].view(np.int64))], schema=kinds)
+
+    return source.select("doc_id", "rk", "text").mapInArrow(run, "doc_id long, rk long, p int, h long")
+
+
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, k: int = K, gap: int = GAP) -> tuple[DataFrame, DataFrame]:
-    """The base columns and k-gram hashes of each row; and the verified spans (rk, doc_id, label, first, last, similarity)."""
+    """The base columns of each row; and the verified spans (rk, doc_id, label, first, last, similarity)."""
     spark = docs.sparkSession
     ship(spark)
     known = [(label, word_hashes(p)) for p, label in phrases.items()]
-    kinds = [("doc_id", pa.int64()), ("rk", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("grams", pa.list_(pa.int64()))]
-    kinds = pa.schema(kinds)
+    kinds = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string())])
 
     def run(batches):
         for batch in batches:
@@ -107,21 +131,16 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
                     w = np.flatnonzero(ok)
                     for w in w[doc[w] == doc[w + m - 1]].tolist():
                         found[doc[w]].setdefault(label, []).append(w - int(first_of[doc[w]]))
-                g = grams(h, k).view(np.int64)
                 counts = np.diff(first_of)
-                mine = np.maximum(counts - k + 1, 0)
-                # k-grams that start in a text and end in it: the first `mine` of each text's words
-                inside = np.flatnonzero(np.arange(len(g)) - first_of[doc[: len(g)]] < mine[doc[: len(g)]]) if len(g) else np.empty(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(mine)), pa.int32()), pa.array(g[inside]))
                 every = [sorted(x for v in f.values() for x in v) for f in found]
-                out = [batch.column(0).slice(a, n), batch.column(1).slice(a, n), pa.array(counts), pa.array([len(x) for x in every], pa.int64()), pa.array([x[0] if x else None for x in every], pa.int64()), pa.array([x[-1] if x else None for x in every], pa.int64()), pa.array([",".join(sorted(f)) for f in found]), lists]
+                out = [batch.column(0).slice(a, n), batch.column(1).slice(a, n), pa.array(counts), pa.array([len(x) for x in every], pa.int64()), pa.array([x[0] if x else None for x in every], pa.int64()), pa.array([x[-1] if x else None for x in every], pa.int64()), pa.array([",".join(sorted(f)) for f in found])]
                 yield pa.RecordBatch.from_arrays(out, schema=kinds)
 
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").withColumn("rk", row_key("doc_id", "text"))
-    base = source.select("doc_id", "rk", "text").mapInArrow(run, "doc_id long, rk long, n_words long, n_base long, first_word long, last_word long, base_labels string, grams array<long>")
+    base = source.select("doc_id", "rk", "text").mapInArrow(run, "doc_id long, rk long, n_words long, n_base long, first_word long, last_word long, base_labels string")
     places = template_positions(spark, templates, k)
     # equal rows share rk: a place votes once
-    votes = base.select("doc_id", "rk", F.posexplode("grams").alias("p", "h")).join(F.broadcast(places), "h").dropDuplicates(["doc_id", "rk", "template", "position", "p"])
+    votes = template_grams(source, templates, k).join(F.broadcast(places), "h").dropDuplicates(["doc_id", "rk", "template", "position", "p"])
     diagonals = votes.groupBy("doc_id", "rk", "template", (F.col("p") - F.col("position")).cast("long").alias("diagonal")).agg(
         F.count("*").alias("votes"), F.min("p").alias("low"), F.max("p").alias("high"), F.min("position").alias("t_low")
     )
@@ -160,7 +179,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     spans = spans.withColumnRenamed("doc_id", "span_doc")
     with_text = source.join(spans.hint("shuffle_hash") if spans.count() > 100_000 else F.broadcast(spans), ["rk"]).where(F.col("doc_id").eqNullSafe(F.col("span_doc")))
     verified = with_text.select("doc_id", "rk", "text", "spans").mapInArrow(verify, "doc_id long, rk long, label string, first long, last long, similarity double")
-    return base.drop("grams"), verified
+    return base, verified
 
 
 def license_report(docs: DataFrame, **how) -> DataFrame:
