@@ -21,9 +21,8 @@ from math import exp, log, sqrt
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import cut, ship, slices, table, texts_of
+from .common import ship, slices, table, texts_of
 from .words import hashes, runs
 
 KINDS = ("assign", "access", "hex", "model")
@@ -244,27 +243,42 @@ def threshold(pos: np.ndarray, neg: np.ndarray) -> float:
     return median
 
 
-def infer(docs: DataFrame, examples: int = EXAMPLES, ordinary: int = ORDINARY) -> Model | None:
-    """The model learned from at most `examples` base values of each kind and `ordinary` other tokens: those with the lowest hashes."""
+class Lowest:
+    """The distinct values of each label with the lowest hashes: most[label] of them. The lowest of a whole are among the lowest of its parts."""
+
+    KINDS = pa.schema([("label", pa.int32()), ("h", pa.int64()), ("value", pa.string())])
+    COLUMNS = "label int, h long, value string"
+
+    def __init__(self, most: dict[int, int]):
+        self.most = most
+        self.held: dict[int, dict[str, int]] = {k: {} for k in most}
+        self.bound = dict.fromkeys(most, (1 << 63) - 1)
+
+    def add(self, label: int, h: int, value: str) -> None:
+        if h <= self.bound[label]:
+            own = self.held[label]
+            own[value] = h
+            if len(own) > 4 * self.most[label]:
+                kept = self.rows(label)
+                self.held[label], self.bound[label] = {v: h for _, h, v in kept}, kept[-1][1]
+
+    def rows(self, label: int) -> list[tuple[int, int, str]]:
+        return [(label, h, v) for h, v in sorted((h, v) for v, h in self.held[label].items())[: self.most[label]]]
+
+    def batch(self) -> pa.RecordBatch:
+        rows = [x for label in self.most for x in self.rows(label)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else ([],) * 3, self.KINDS)], schema=self.KINDS)
+
+
+def samples(docs: DataFrame, most: dict[int, int]) -> DataFrame:
+    """label (kind of credential, or 3: ordinary), h, value: the most[label] distinct values of each label with the lowest hashes, in one partition.
+    Tasks hand on their lowest only, which are merged by hash and then in one task; nothing is written besides the shuffles' own files."""
     ship(docs.sparkSession)
-    kinds = pa.schema([("label", pa.int32()), ("h", pa.int64()), ("value", pa.string())])
-    most = {0: examples, 1: examples, 2: examples, 3: ordinary}
 
     def run(batches):
         from xxhash import xxh64_intdigest
 
-        lowest: dict[int, dict[str, int]] = {k: {} for k in most}  # their union over tasks holds the lowest of the corpus
-        bound = dict.fromkeys(most, (1 << 63) - 1)
-
-        def add(label: int, value: str) -> None:
-            h = xxh64_intdigest(value) >> 1
-            if h <= bound[label]:
-                own = lowest[label]
-                own[value] = h
-                if len(own) > 4 * most[label]:
-                    kept = sorted((h, v) for v, h in own.items())[: most[label]]
-                    lowest[label], bound[label] = {v: h for h, v in kept}, kept[-1][0]
-
+        lowest = Lowest(most)
         for batch in batches:
             texts = texts_of(batch.column(0))
             for x, y in slices(texts):
@@ -272,16 +286,31 @@ def infer(docs: DataFrame, examples: int = EXAMPLES, ordinary: int = ORDINARY) -
                 base, cp, _, a, b = scan(some)
                 for t, own in zip(some, base):
                     for span in own:
-                        add(span[1], value_of(t, span))
+                        value = value_of(t, span)
+                        lowest.add(span[1], xxh64_intdigest(value) >> 1, value)
                 if len(a):  # each distinct run once
                     _, first = np.unique(hashes(cp, a, b), return_index=True)
                     for i in first.tolist():
-                        add(3, "".join(map(chr, cp[a[i] : b[i]].tolist())))
-        rows = [(label, h, v) for label in most for h, v in sorted((h, v) for v, h in lowest[label].items())[: most[label]]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else ([],) * 3, kinds)], schema=kinds)
+                        value = "".join(map(chr, cp[a[i] : b[i]].tolist()))
+                        lowest.add(3, xxh64_intdigest(value) >> 1, value)
+        yield lowest.batch()
+
+    def merge(batches):
+        lowest = Lowest(most)
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                lowest.add(*row)
+        yield lowest.batch()
 
-    values = cut(docs.select("text").mapInArrow(run, "label int, h long, value string").distinct())
-    got = {k: [r.value for r in values.where(F.col("label") == k).orderBy("h", "value").limit(n).collect()] for k, n in most.items()}  # bounded by EXAMPLES and ORDINARY
+    found = docs.select("text").mapInArrow(run, Lowest.COLUMNS)
+    return found.repartition("h").mapInArrow(merge, Lowest.COLUMNS).repartition(1).mapInArrow(merge, Lowest.COLUMNS)
+
+
+def infer(docs: DataFrame, examples: int = EXAMPLES, ordinary: int = ORDINARY) -> Model | None:
+    """The model learned from at most `examples` base values of each kind and `ordinary` other tokens: those with the lowest hashes."""
+    got: dict[int, list[str]] = {0: [], 1: [], 2: [], 3: []}
+    for r in samples(docs, {0: examples, 1: examples, 2: examples, 3: ordinary}).collect():  # bounded by EXAMPLES and ORDINARY; in order
+        got[r.label].append(r.value)
     return train({k: got[k] for k in (0, 1, 2)}, got[3])
 
 
