@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ship, slices, table, texts_of
+from .common import ship, slices, small_reads, table, texts_of
 from .words import hashes, runs
 
 KINDS = ("assign", "access", "hex", "model")
@@ -274,6 +274,7 @@ def samples(docs: DataFrame, most: dict[int, int]) -> DataFrame:
     """label (kind of credential, or 3: ordinary), h, value: the most[label] distinct values of each label with the lowest hashes, in one partition.
     Tasks hand on their lowest only, which are merged by hash and then in one task; nothing is written besides the shuffles' own files."""
     ship(docs.sparkSession)
+    small_reads(docs.sparkSession)
 
     def run(batches):
         from xxhash import xxh64_intdigest
@@ -317,6 +318,7 @@ def infer(docs: DataFrame, examples: int = EXAMPLES, ordinary: int = ORDINARY) -
 def report(docs: DataFrame, model: Model | None) -> DataFrame:
     """One row per document: counts, the digest of the base spans, all spans, and the best likelihood of a candidate (0 to 1)."""
     ship(docs.sparkSession)
+    small_reads(docs.sparkSession)
     kinds = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("score", pa.float64())])
 
     def run(batches):

@@ -62,3 +62,15 @@ def test_lowest_keeps_equal_hashes_apart():
     for h, v in [(5, "e"), (1, "b"), (1, "a"), (9, "z")] * 3 + [(k, f"v{k}") for k in range(2, 40)]:
         lowest.add(0, h, v)
     assert lowest.rows(0) == [(0, 1, "a"), (0, 1, "b")] and lowest.rows(3) == [] and lowest.batch().num_rows == 2
+
+
+def test_readers_hold_few_whole_texts(spark):
+    rows = "spark.sql.parquet.columnarReaderBatchSize"
+    for op in (lambda d: op6.report(d, None), lambda d: op6.samples(d, {0: 1, 1: 1, 2: 1, 3: 1})):
+        for own, want in ((None, common.READ_ROWS), (1000, 1000)):  # a session's own choice stays
+            session = spark.newSession()
+            if own:
+                session.conf.set(rows, str(own))
+            op(session.createDataFrame([(1, "a")], "doc_id long, text string"))
+            assert session.conf.get(rows) == str(want)
+    assert spark.newSession().conf.get(rows) == "4096"
